@@ -34,7 +34,7 @@ SHARED = 3
 #: N-grams that more than FREQUENT documents have among their first are put last; at most MOST_FREQUENT of them are known to each task.
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: A block has at most so many documents and, unless one alone has more, so many n-grams.
-BLOCK_DOCS, BLOCK_GRAMS = 256, 1_000_000
+BLOCK_DOCS, BLOCK_GRAMS = 256, 250_000
 _COLUMNS = 4096
 
 

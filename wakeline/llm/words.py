@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(0x5EED)
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
