@@ -36,6 +36,8 @@ FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: A block has at most so many documents and, unless one alone has more, so many n-grams.
 BLOCK_DOCS, BLOCK_GRAMS = 256, 250_000
 _COLUMNS = 4096
+#: Bits of the filter that keeps texts which are no candidates out of the shuffle.
+FILTER_BITS = 1 << 26
 
 
 def first_count(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -98,6 +100,31 @@ def _ordered_heads(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray)
     return run
 
 
+def _known(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes: a fixed number of bits, whatever their number. With very many nodes it lets all pass."""
+    h = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)]))
+    bits = nodes.select(h.alias("h")).groupBy(F.shiftright("h", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("marks", F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)]))
+
+
+def _among(known: np.ndarray) -> Callable:
+    """Keeps rows whose marks are all set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(2).flatten().to_numpy().reshape(-1, 2)
+            there = ((known[h >> 5] >> (h & 31).astype(np.uint32)) & 1).all(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(there))
+
+    return run
+
+
 def _with_sets(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in _chunk_sets(batches, k):
@@ -223,7 +250,8 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", t
 
     nodes = scratch.keep(coarse.join(reps, "node"))
     keyed = scratch.keep(_blocks(nodes, percent, scratch).select("node", "copies", "component", "whole", "keys"))
-    own = docs.join(keyed.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_with_sets(k), "doc_id bigint, copies bigint, component bigint, whole boolean, keys array<struct<c1:int,i:int,c2:int,j:int,side:boolean>>, grams binary")
+    likely = _marked(docs).mapInArrow(_among(_known(keyed.select("node"))), "doc_id bigint, text string")
+    own = likely.join(keyed.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_with_sets(k), "doc_id bigint, copies bigint, component bigint, whole boolean, keys array<struct<c1:int,i:int,c2:int,j:int,side:boolean>>, grams binary")
     rows = own.select(F.col("doc_id").alias("node"), "copies", "component", "whole", F.explode("keys").alias("key"), "grams").select("node", "copies", "component", "whole", "key.*", "grams")
     found = scratch.keep(rows.groupBy("component", "c1", "i", "c2", "j").applyInArrow(_multiply(percent), "node bigint, root bigint, links bigint, whole boolean"))
 
