@@ -8,13 +8,14 @@ values of its bytes, mixed with its length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 512 << 10
 
 _RNG = np.random.default_rng(0x5EED)
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -37,7 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     while len(out) < n:
         out = np.concatenate([out, out * np.uint64(step)])
         step = step * step % (1 << 64)
-    return out[:n]
+    return out[:n].copy()  # and not a view that keeps twice as much
 
 
 _UP = _powers(_BASE, CHUNK_BYTES + 1)
@@ -130,6 +131,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task should not hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def with_columns(rows: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
