@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared folder and cut from its lineage; only where no folder is set (as in tests), a new one is."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeline-"))
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node`` and ``root`` (its least reachable node). Labels jump to their label's label, so long chains take few rounds; each round is checkpointed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = settled(edges.select("a", "b").distinct())
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")).select("node", F.least("node", "_m").alias("root"))
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_m"))
         low = label.join(near, "node").select("node", F.least("root", "_m").alias("root"), F.col("root").alias("_old"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("_far"))
-        new = low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("_far", "root")).alias("root"), "_old").checkpoint()
+        new = settled(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("_far", "root")).alias("root"), "_old"))
         changed = new.where("root <> _old").limit(1).count()
         label = new.select("node", "root")
         if not changed:

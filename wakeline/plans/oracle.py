@@ -274,6 +274,13 @@ SELECT date, method, CAST(len(cells) AS INT) AS selected_cells, coalesce(round(l
   SELECT *, first(cells) OVER (PARTITION BY method ORDER BY date) AS f, lag(cells) OVER (PARTITION BY method ORDER BY date) AS p FROM (
     SELECT d.date, m.method, coalesce(r.cells, []) AS cells, r.top_cells FROM (SELECT DISTINCT date FROM daily_evidence) d CROSS JOIN (VALUES ('density_only'), ('anomaly_only'), ('encounter_only'), ('fused_risk')) m(method)
     LEFT JOIN (SELECT date, method, list(cell_id) AS cells, list_sort(list(cell_id) FILTER (WHERE r <= 10)) AS top_cells FROM daily_ranked WHERE r <= 25 GROUP BY 1, 2) r USING (date, method)))"""
+CTES["day_counts"] = """
+SELECT * FROM (SELECT date, count(*) AS clean_rows, count(DISTINCT mmsi) AS unique_mmsi FROM feat GROUP BY 1)
+JOIN (SELECT date, count(*) AS tracks, count(*) FILTER (WHERE n >= 20) AS long_tracks, CAST(coalesce(sum(n) FILTER (WHERE n >= 20), 0) AS BIGINT) AS long_rows FROM (SELECT date, track_id, count(*) AS n FROM feat GROUP BY 1, 2) GROUP BY 1) USING (date)
+LEFT JOIN (SELECT date, count(*) AS grid_cells, max(n) AS max_cell_count FROM (SELECT date, cell_id, count(*) AS n FROM celled GROUP BY 1, 2) GROUP BY 1) USING (date)"""
+CTES["carded"] = f"""
+SELECT e.*, r.actual_min_nm, r.coverage_s, r.observable, r.supported, r.near_supported, row_number() OVER (ORDER BY r.observable DESC, r.supported DESC, CAST(r.actual_min_nm IS NOT NULL AS INT) DESC, r.coverage_s DESC, e.first_score DESC, e.date, e.mmsi_a, e.mmsi_b, e.t0) AS rank
+FROM (SELECT * FROM relaxed) r JOIN (SELECT * FROM episodes) e USING ({K})"""
 
 
 def sql(final: str, *materialized: str) -> str:

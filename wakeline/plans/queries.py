@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BAY, Future, Hotspot, PatternGates
-from ..operators import behavior, controls, encounters, future, publish, quality, ranking, raster, tracks
+from ..config import BAY, Encounter, Future, Hotspot, PatternGates
+from ..operators import assessment, behavior, cards, controls, encounters, future, publish, quality, ranking, raster, tracks
 from ..sources.events import reports
 from . import oracle
 from .oracle import sql
@@ -235,6 +235,64 @@ _as("geojson_cells", lambda s, d: publish.cell_layer(raster.density(features(s,
 _as("geojson_tracks", lambda s, d: publish.line_layer(features(s, d), ["date", "track_id"]), None)
 _as("sanitised", lambda s, d: publish.sanitise(points(s, d)).select("date", "cell_id", "longitude", "latitude", "anomaly_score"), sql("SELECT date, cell_id, floor(longitude * 10000 + 0.5) / 10000 AS longitude, floor(latitude * 10000 + 0.5) / 10000 AS latitude, anomaly_score FROM points"))
 
+@shared
+def judged_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and controls with what followed."""
+    return future.backtest(anchors(spark, sf_dir).withColumn("t0", F.col("g")), features(spark, sf_dir), RELAXED)
+
+
+def stage_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    r = records(spark, sf_dir)
+    return {
+        "clean_points": cleaned(spark, sf_dir), "anomaly_candidate_points": points(spark, sf_dir), "encounter_candidate_records": r.where("is_candidate = 1"), "encounter_audit_episodes": episodes(spark, sf_dir),
+        "backtest_supported_episodes": backtest(spark, sf_dir, RELAXED).where("supported = 1"), "fused_hotspot_cells": hot(spark, sf_dir).where("is_hotspot = 1"), "representative_case_tracks": behavior.case_tracks(points(spark, sf_dir)),
+    }
+
+
+def encounter_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.encounter_cards(backtest(spark, sf_dir, RELAXED), records(spark, sf_dir))
+
+
+_values = lambda rows, name: f"(VALUES {', '.join('(' + ', '.join(oracle.D(x) for x in r) + ')' for r in rows)}) {name}"
+_as("score_levels", lambda s, d: assessment.score_levels(scored(s, d)), sql(f"SELECT level, count(*) AS scored_rows, count(*) FILTER (WHERE anomaly_score >= level) AS candidates, round(count(*) FILTER (WHERE anomaly_score >= level) * {oracle.D(100)} / count(*), 6) AS rate_percent FROM scored CROSS JOIN {_values([(x,) for x in assessment.LEVELS], 'l(level)')} GROUP BY level"))
+_as("nested_encounters", lambda s, d: assessment.nested_encounters(records(s, d)), sql(f"SELECT dcpa_limit_nm, tcpa_limit_min, count(g) AS candidates FROM {_values(assessment.NESTED, 'l(dcpa_limit_nm, tcpa_limit_min)')} LEFT JOIN (SELECT * FROM opps WHERE is_candidate = 1) ON dcpa_nm <= dcpa_limit_nm AND tcpa_min <= tcpa_limit_min GROUP BY 1, 2"))
+_as("cell_sizes", lambda s, d: assessment.cell_sizes(features(s, d), BAY, GATES), None)
+_as("held_out_days", lambda s, d: assessment.held_out_days(features(s, d), BAY, GATES, FOLDS), None)
+_as("densest_bins", lambda s, d: assessment.densest_bins(states(s, d), 2.0), sql("SELECT t.g, t.vessels, coalesce(p.n, 0) AS indexed, coalesce(p.n, 0) AS brute, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM (SELECT g, count(*) AS vessels FROM states GROUP BY g ORDER BY vessels DESC, g DESC LIMIT 12) t LEFT JOIN (SELECT g, count(*) AS n FROM pairs GROUP BY g) p USING (g)"))
+_moved = lambda s: f"round(CASE WHEN t = t_{s} THEN lon_{s} ELSE lon_{s} + degrees(sog_{s} * sin(radians(course_{s})) * ((t - t_{s}) / {oracle.D(3600)}) / ({oracle.D(oracle.R)} * cos(radians(lat_{s})))) END, 6) AS lon_{s}, round(CASE WHEN t = t_{s} THEN lat_{s} ELSE lat_{s} + degrees(sog_{s} * cos(radians(course_{s})) * ((t - t_{s}) / {oracle.D(3600)}) / {oracle.D(oracle.R)}) END, 6) AS lat_{s}"
+_as(
+    "synchronised", lambda s, d: assessment.synchronised(encounters.pairs_within(states(s, d), 2.0), Encounter(max_age_s=30)).withColumns({f"{c}_{v}": F.round(f"{c}_{v}", 6) for c in ("lon", "lat") for v in "ab"}),
+    sql(f"SELECT g, mmsi_a, mmsi_b, t, state_skew_s, {_moved('a')}, {_moved('b')} FROM (SELECT *, greatest(t_a, t_b) AS t, abs(t_a - t_b) AS state_skew_s FROM pairs) WHERE state_skew_s <= 30"), "g", "mmsi_a", "mmsi_b", "t", "state_skew_s", "lon_a", "lat_a", "lon_b", "lat_b",
+)
+_as("match_differences", lambda s, d: assessment.differences(matched(s, d)), None)
+_as("calibration", lambda s, d: assessment.calibration(judged_anchors(s, d)), None)
+_bins = lambda c, edges, labels: f"CASE WHEN {c} IS NULL THEN '{assessment.MISSING}' " + " ".join(f"WHEN {c} < {oracle.D(e)} THEN '{x}'" for e, x in zip(edges, labels, strict=False)) + f" ELSE '{labels[-1]}' END"
+_CALIBRATED = " UNION ALL ".join(f"SELECT '{c}' AS variable, {_bins(c, *spec)} AS bin, observable, actual_min_nm FROM carded" for c, spec in assessment.CALIBRATION.items())
+_as("calibration_candidates", lambda s, d: assessment.calibration(backtest(s, d, RELAXED).withColumn("anchor_type", F.lit("candidate"))), sql(f"SELECT *, round(CAST(within_half_nm AS DOUBLE) / nullif(observable, 0), 6) AS half_rate, round(CAST(within_one_nm AS DOUBLE) / nullif(observable, 0), 6) AS one_rate FROM (SELECT variable, 'candidate' AS anchor_type, bin, count(*) AS anchors, count(*) FILTER (WHERE observable = 1) AS observable, count(*) FILTER (WHERE observable = 1 AND actual_min_nm <= 0.5) AS within_half_nm, count(*) FILTER (WHERE observable = 1 AND actual_min_nm <= 1) AS within_one_nm FROM ({_CALIBRATED}) GROUP BY variable, bin)"))
+_as("composition", lambda s, d: assessment.composition(judged_anchors(s, d)), None)
+_as("outcome_intervals", lambda s, d: assessment.intervals(matched(s, d), judged_anchors(s, d)), None)
+_MEASURES = ["clean_rows", "unique_mmsi", "tracks", "long_tracks", "long_rows", "grid_cells", "max_cell_count"]
+_as("daily_summary", lambda s, d: assessment.daily(features(s, d), BAY), sql("SELECT * FROM day_counts"))
+_as("daily_descriptors", lambda s, d: assessment.descriptors(assessment.daily(features(s, d), BAY)), sql(" UNION ALL ".join(f"SELECT '{m}' AS measure, count({m}) AS days, CAST(min({m}) AS DOUBLE) AS least, round(avg({m}), 6) AS mean, CAST(max({m}) AS DOUBLE) AS most, round(stddev_pop({m}) / nullif(avg({m}), 0), 6) AS cv, round(CAST(sum({m}) AS DOUBLE), 6) AS total FROM day_counts" for m in _MEASURES)))
+_share = lambda o: f"round(len(list_intersect(c, {o})) / CAST(len(list_distinct(list_concat(c, {o}))) AS DOUBLE), 6)"
+_as("day_overlap", lambda s, d: assessment.day_overlap(raster.density(features(s, d), BAY, "date")), sql(f"SELECT date, CAST(len(c) AS INT) AS cells, {_share('f')} AS overlap_first, CASE WHEN p IS NOT NULL THEN {_share('p')} END AS overlap_previous FROM (SELECT *, first(c) OVER (ORDER BY date) AS f, lag(c) OVER (ORDER BY date) AS p FROM (SELECT date, list(cell_id) AS c FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY point_count DESC, cell_id) AS r FROM daily_density) WHERE r <= 50 GROUP BY date))"))
+_STAGES = {"clean_points": "cleaned", "anomaly_candidate_points": "points", "encounter_candidate_records": "opps WHERE is_candidate = 1", "encounter_audit_episodes": "episodes", "backtest_supported_episodes": "relaxed WHERE supported = 1", "fused_hotspot_cells": "hot WHERE is_hotspot = 1", "representative_case_tracks": "(SELECT DISTINCT date, mmsi, track_id FROM points LIMIT 7)"}
+_as("workload_stages", lambda s, d: assessment.stages(**stage_tables(s, d)), sql(f"SELECT stage_no, stage, n, round(n * {oracle.D(100)} / nullif(first(n) OVER (ORDER BY stage_no), 0), 6) AS share_percent, round(CAST(first(n) OVER (ORDER BY stage_no) AS DOUBLE) / nullif(n, 0), 3) AS ratio FROM ({' UNION ALL '.join(f'SELECT {i} AS stage_no, {chr(39)}{k}{chr(39)} AS stage, count(*) AS n FROM {v}' for i, (k, v) in enumerate(_STAGES.items()))})"))
+_as("fingerprint", lambda s, d: assessment.fingerprint(raster.density(features(s, d), BAY), ["cell_id", "point_count", "moving_count"]), sql("SELECT n AS n_rows, sha256(CAST(n AS VARCHAR) || '|' || a || '|' || b) AS sha256 FROM (SELECT count(*) AS n, CAST(coalesce(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), 0) AS VARCHAR) AS a, CAST(coalesce(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)), 0) AS VARCHAR) AS b FROM (SELECT sha256(cell_id || '|' || CAST(point_count AS VARCHAR) || '|' || CAST(moving_count AS VARCHAR)) AS h FROM density))"))
+_as("case_selection", lambda s, d: cards.select_cases(points(s, d)), None)
+_as("hotspot_cards", lambda s, d: cards.hotspot_cards(hot(s, d), ranking.typology(hot(s, d), stable(s, d), 30), backtest(s, d, RELAXED)), None)
+_at = lambda v: f"round({oracle.plane_x(f'o.lon_{v}', 'c.lon_mid', 'c.lat_mid')}, 4) AS x_{v}_nm, round({oracle.plane_y(f'o.lat_{v}', 'c.lat_mid')}, 4) AS y_{v}_nm"
+_CARDS = f"SELECT 'enc-' || lpad(CAST(c.rank AS VARCHAR), 3, '0') AS case_id, CAST(c.rank AS INT) AS rank, CASE WHEN c.observable = 0 THEN '{cards.STATUS[0]}' WHEN c.supported = 1 THEN '{cards.STATUS[1]}' WHEN c.near_supported = 1 THEN '{cards.STATUS[2]}' ELSE '{cards.STATUS[3]}' END AS support_status, c.current_distance_nm, c.dcpa_nm, c.tcpa_min, {_at('a')}, {_at('b')}, c.actual_min_nm, c.coverage_s, 900 AS window_s, round(c.coverage_s / {oracle.D(900)}, 6) AS coverage_fraction, c.record_count FROM carded c JOIN opps o ON o.mmsi_a = c.mmsi_a AND o.mmsi_b = c.mmsi_b AND o.g = c.t0 WHERE c.rank <= 12"
+_as("encounter_cards", encounter_cards, sql(_CARDS))
+_as("card_problems", lambda s, d: cards.card_problems(encounter_cards(s, d)).select("case_id", "rank"), sql(f"SELECT case_id, rank FROM ({_CARDS}) WHERE abs(sqrt((x_b_nm - x_a_nm) * (x_b_nm - x_a_nm) + (y_b_nm - y_a_nm) * (y_b_nm - y_a_nm)) - current_distance_nm) > 0.05 OR (tcpa_min > 0 AND dcpa_nm > current_distance_nm + 0.05) OR coverage_s > window_s"))
+_N = "(SELECT count(*) FROM {})"
+_CHECKS = {
+    "episodes_backtested": (_N.format("episodes"), _N.format("relaxed")), "episode_records": ("(SELECT coalesce(sum(record_count), 0) FROM episodes)", _N.format("opps WHERE is_candidate = 1")),
+    "anomalies_in_cells": (_N.format("points WHERE cell_id IS NOT NULL"), "(SELECT coalesce(sum(anomaly_count), 0) FROM hot)"), "encounters_in_cells": (_N.format("opps WHERE is_candidate = 1 AND cell_id IS NOT NULL"), "(SELECT coalesce(sum(encounter_count), 0) FROM hot)"),
+    "supported_are_observable": (_N.format("relaxed WHERE supported = 1"), _N.format("relaxed WHERE supported = 1 AND observable = 1")),
+}
+_as("bundle_checks", lambda s, d: cards.bundle_checks(points(s, d), hot(s, d), episodes(s, d), backtest(s, d, RELAXED), records(s, d)), sql('SELECT "check", a, b, a = b AS ok FROM (' + " UNION ALL ".join(f'SELECT \'{k}\' AS "check", CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b' for k, (a, b) in _CHECKS.items()) + ")"))
+
 # What a relational engine offers beyond the screening chain, on the order tables.
 query("pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")(
     lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
