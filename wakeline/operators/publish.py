@@ -63,3 +63,12 @@ def leaks(df: DataFrame) -> DataFrame:
     if any(c in SENSITIVE for c in df.columns):
         return df
     return df.where(F.to_json(F.struct(*df.columns)).rlike(IDENTITY))
+
+
+def replace_terms(df: DataFrame, terms: dict[str, str]) -> DataFrame:
+    """Columns and whole text values under their public names."""
+    if not terms:
+        return df
+    named = F.create_map(*[x for k, v in terms.items() for x in (F.lit(k), F.lit(v))])
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    return df.withColumns({c: F.coalesce(F.try_element_at(named, F.coalesce(c, F.lit(""))), c) for c in texts}).withColumnsRenamed(terms)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import math
+import os
+import shutil
+import urllib.request
 import zipfile
 from collections.abc import Iterator
 
@@ -104,3 +108,47 @@ def read_geojson(spark: SparkSession, path: str, properties: str, coordinates: s
     """Features of a collection: their properties, and the geometry under ``geometry``."""
     kind = f"features array<struct<type:string,geometry:struct<type:string,coordinates:{coordinates}>,properties:struct<{properties}>>>"
     return spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry")
+
+
+def download(url: str, path: str, overwrite: bool = False, chunk: int = 1 << 20) -> str:
+    """Fetches a file beside its place and moves it there once it is whole; one that is there already stays unless ``overwrite``."""
+    if os.path.exists(path) and not overwrite:
+        return path
+    part = f"{path}.part"
+    try:
+        with urllib.request.urlopen(url) as source, open(part, "wb") as out:
+            shutil.copyfileobj(source, out, chunk)
+            told = source.headers.get("Content-Length")
+        if told is not None and os.path.getsize(part) != int(told):
+            raise OSError(f"{url}: {os.path.getsize(part)} bytes of {told}")
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return path
+
+
+def inspect_parquet(path: str) -> dict[str, object]:
+    """Rows, row groups and column types of a Parquet file, from its footer alone."""
+    import pyarrow.parquet as pq
+
+    with pq.ParquetFile(path) as f:
+        return {"rows": f.metadata.num_rows, "row_groups": f.metadata.num_row_groups, "columns": {n.name: str(n.type) for n in f.schema_arrow}}
+
+
+def positions(f: DataFrame, wanted: DataFrame, start: dt.date, end: dt.date, lookahead_min: int = 15, vessel: str = "mmsi") -> DataFrame:
+    """Features of the wanted vessels from start to end and as many days more as the look-ahead needs; tracks are named by their day.
+
+    Rows without a track are left out. The vessels meet the features in a semi-join, so their number does not matter.
+    """
+    last = end + dt.timedelta(days=math.ceil(lookahead_min / 1440))
+    there = f.where(F.col("date").between(start.isoformat(), last.isoformat()) & (F.coalesce(F.trim("track_id"), F.lit("")) != ""))
+    return there.join(wanted.select(F.col(vessel).alias("mmsi")).distinct(), "mmsi", "left_semi").withColumn("track_id", F.concat_ws("::", "date", "track_id"))
+
+
+def enrich(features: DataFrame, more: DataFrame, key: str = "cell_id") -> DataFrame:
+    """Features with more properties by their key; those without any keep their own, and equal names are replaced where there is a value."""
+    both = [c for c in more.columns if c in features.columns and c != key]
+    named = more.dropDuplicates([key]).withColumnsRenamed({c: f"_new_{c}" for c in both})
+    out = features.join(named, key, "left")
+    return out.withColumns({c: F.coalesce(f"_new_{c}", c) for c in both}).drop(*[f"_new_{c}" for c in both])
