@@ -3,7 +3,8 @@
 A shard is a slice of a partition. Its suffix array holds every suffix that can hold a window: those that
 begin a long enough run of words which the benchmark knows. Every suffix of every item that is long enough
 for a window is searched in it by bisection, which gives all places of its window; neighbouring windows on one
-diagonal make up the longest verbatim matches. Items go to the tasks in blocks of bounded size.
+diagonal make up the longest verbatim matches. Items go to the tasks in blocks of bounded size, one after the other;
+between two blocks what is known so far is written to the shared folder.
 
 Words are folded A-Z and compared by 64-bit hashes. Cases: a null text, or one without words, has no words and
 no hits; an item without words is never found; items that share an id are one; repeated rows are judged each;
@@ -12,9 +13,9 @@ an empty benchmark finds nothing; other columns are carried along, the result's
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import Scratch
 from .words import ALNUM, chunks, prefix_hash, scan, with_columns
 
 #: Bytes of item texts that one pass over the documents takes to every task.
@@ -193,7 +195,10 @@ def search(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     """Adds ``n_words``, ``spans`` (hit words: start, end, start, ...) and ``matches`` (each found item's longest verbatim match; of equal ones the first)."""
     state = "_state"
     df = df.drop("n_words", "spans", "matches", state)
-    for rows in [*_blocks(benchmark, item_id, item_text)] or [[]]:
+    scratch, blocks = Scratch(df.sparkSession, "decontam"), _blocks(benchmark, item_id, item_text)
+    for n, rows in enumerate(chain([next(blocks, [])], blocks)):
+        if n:  # one block at a time: neither driver nor tasks hold the next one beside it
+            df = scratch.keep(df)
         fields = [f for f in df.schema.fields if f.name != state]
         df = df.mapInArrow(_search(prepare(rows, window), text, state), T.StructType([*fields, T.StructField(state, STATE)]))
     return df.select("*", f"{state}.*").drop(state)
