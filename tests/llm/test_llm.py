@@ -85,6 +85,29 @@ def test_chat_layouts(spark):
     assert chat.format_turns(chat.to_turns(df.limit(0))).count() == 0
 
 
+def test_chat_large_records(spark):
+    big = F.repeat(F.lit('ab\n"é'), 4_200_000)  # above 20 million characters
+    many = F.transform(F.sequence(F.lit(1), F.lit(700_000)), lambda i: F.struct(F.lit("user").alias("role"), F.lit("q").alias("content")))  # above 16 MiB
+    a, b, turn = F.lit("user").alias("role"), F.lit("assistant").alias("role"), big.alias("content")
+    records = [F.struct(big.alias("prompt"), F.lit("r").alias("response")), F.struct(F.array(F.struct(a, turn), F.struct(b, F.lit("r").alias("content"))).alias("messages")), F.struct(big.alias("other")), F.struct(many.alias("messages"))]
+    df = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(r).alias("record")) for i, r in enumerate(records)], F.struct(F.lit(4).alias("i"), F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("x"), 21_000_000)).alias("record")))).alias("r")).select("r.*")
+    out = chat.to_turns(df).select("i", "layout", F.size("turns").alias("n"), F.transform("turns", lambda t: F.length(t["text"])).alias("lengths"))
+    got = {r.i: (r.layout, r.n, r.lengths[:2]) for r in out.withColumn("lengths", F.slice("lengths", 1, 2)).collect()}
+    long = 5 * 4_200_000
+    assert long > 20_000_000 and got[0] == ("prompt", 2, [long, 1]) and got[1] == ("messages", 2, [long, 1]) and got[3] == ("messages", 700_000, [1, 1])
+    assert got[2] == (None, 0, []) and got[4] == (None, 0, [])
+
+
+def test_chat_large_layout(spark, monkeypatch):
+    monkeypatch.setattr(chat, "LARGE", 20)
+    rows = ['{"messages":[{"role":"user","content":"' + "x" * 99 + '"}]}', '{"a":{"b":[1,"' + "x" * 99 + '",{"c":"d\\"e"}]}}', '{"prompt":"' + "x" * 99 + '\\q"}']
+    df = spark.createDataFrame([(r,) for r in rows], "r string")
+    got = df.select(chat.shape(F.col("r")), chat.shape(chat._bare(F.col("r")))).collect()
+    assert all(a == b for a, b in got) and got[0][0] == chat._same("{messages[{content,role}]}") and got[2][0] is None
+    with pytest.raises(Exception, match="too large for VARIANT"):
+        spark.range(1).select(chat._large(F.lit('{"a":1,"a":2,' + '"b":1234567890}'))).collect()
+
+
 def test_language(spark):
     rng = random.Random(3)
     vocabulary = {"en": "the and of with that this which from".split(), "de": "der und die nicht schön mit für über".split(), "fr": "le est été dans pour très avec où".split()}

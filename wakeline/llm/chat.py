@@ -9,8 +9,9 @@ Cases: a null text is an empty one; a record that is no JSON, or whose layout no
 mapping declares, has a null ``layout`` and no turns; an empty table gives an
 empty one; columns besides the record's are carried along unchanged, and those
 named ``layout``, ``turns``, ``formatted`` or ``loss_spans`` are replaced. A
-conversation is one row, so it must fit in one string (2 GB); a record above the
-size limit of Spark's VARIANT counts as undeclared.
+conversation is one row, so it must fit in one string (2 GB). The layout of a record
+that VARIANT cannot hold is read from a copy without its texts; one whose layout alone
+is too large for VARIANT is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ CONTROL = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<|role|>"
 
 _SCALARS = r"(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|DECIMAL\([0-9]+,[0-9]+\))"
 
+#: A valid JSON string without its quotes; possessive, so that length costs no stack.
+_STRING = r'[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+'
+#: Above so many characters a record, or its copy without texts, may pass a limit of VARIANT or of its parser.
+LARGE = 4_000_000
+#: Jackson's own limit is 20,000,000 characters.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+
 
 @dataclass(frozen=True)
 class Mapping:
@@ -66,9 +74,23 @@ def _quoted(name: str) -> str:
     return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bare(record: Column) -> Column:
+    """A record of the same shape: texts become empty, of equal flat objects in a row one is left; keys and what is no JSON stay."""
+    out = F.regexp_replace(record, rf'("{_STRING}"\s*+:)|(")(?:{_STRING})(")', "$1$2$3")
+    return F.regexp_replace(out, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
+def _large(bare: Column) -> Column:
+    """Schema of a large record's bare copy. JSON that VARIANT cannot hold even so is an error, no empty conversation."""
+    valid = F.from_json(bare, "map<string,string>", _ANY_LENGTH).isNotNull()
+    error = F.raise_error(F.lit("chat: a record's layout is too large for VARIANT")).cast("string")
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(bare)), F.when((F.length(bare) > LARGE) & valid, error))
+
+
 def shape(record: Column) -> Column:
     """Nested field names of a JSON text: ``{messages[{content,role}]}``; null where it is no JSON."""
     s = F.schema_of_variant(F.try_parse_json(record))
+    s = F.coalesce(s, F.when(F.length(record) > LARGE, _large(_bare(record))))
     s = F.regexp_replace(s, rf"(: |ARRAY<|^){_SCALARS}(?=[,>]|$)", "$1")
     s = F.replace(F.replace(s, F.lit("OBJECT<"), F.lit("{")), F.lit("ARRAY<"), F.lit("["))
     # the closing brackets are told apart by nothing but their partner; one kind is enough for a fingerprint
@@ -87,7 +109,7 @@ def fingerprint(record: Column) -> Column:
 def _mapped(record: Column, m: Mapping) -> Column:
     if m.items:
         kind = f"struct<`{m.items}`:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
-        items = F.from_json(record, kind)[m.items]
+        items = F.from_json(record, kind, _ANY_LENGTH)[m.items]
 
         def turn(x: Column) -> Column:
             role = F.coalesce(x[m.role], F.lit(""))
@@ -97,7 +119,7 @@ def _mapped(record: Column, m: Mapping) -> Column:
 
         return F.transform(items, turn)
     names = [n for _, group in m.fields for n in group]
-    parsed = F.from_json(record, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">")
+    parsed = F.from_json(record, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", _ANY_LENGTH)
     turns = []
     for role, group in m.fields:
         there = F.coalesce(*[parsed[n] for n in group])
