@@ -164,6 +164,24 @@ def test_jaccard_in_blocks(spark, corpus, monkeypatch):
     assert jaccard.link(spark.createDataFrame([], DOCS), 3, 80).count() == 0
 
 
+def link_counts(rows, k, percent):
+    found = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} - {()} for w in (spaced(r[1]) for r in rows)]
+    near = lambda a, b: len(a) and 100 * len(a & b) >= percent * len(a | b)
+    return sorted((r[0], sum(near(a, b) for j, b in enumerate(found) if j != i)) for i, (r, a) in enumerate(zip(rows, found, strict=True)))
+
+
+def test_jaccard_link_counts_in_blocks(spark, corpus, monkeypatch):
+    """Blocks set by n-grams hold few documents, so many are empty."""
+    rng = random.Random(8)
+    base, rows = sentence(rng, 300).split(), corpus[:200]
+    rows = [*rows, *((20000 + i, " ".join([*base[:i], f"n{i}", *base[i + 1 :]]), "en", "s", 0, 0, 0) for i in range(0, 36, 3))]
+    for grams in (300, 1000):
+        monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)
+        got = jaccard.link(spark.createDataFrame(rows, DOCS), 3, 80).collect()
+        assert sorted((r.doc_id, r.n_links) for r in got) == link_counts(rows, 3, 80)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == links(rows, 3, 80)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(e, Scratch(spark, "t")).collect()}

@@ -186,7 +186,7 @@ def _multiply(percent: int) -> Callable:
         shared = overlaps(found)
         linked = (100 + percent) * shared >= percent * (size[:, None] + size[None, :])
         linked &= ids[:, None] != ids[None, :]
-        if side.any():
+        if any(table.column(a)[0] != table.column(b)[0] for a, b in (("c1", "c2"), ("i", "j"))):  # a pair, even if one of its blocks is empty
             linked &= side[:, None] != side[None, :]
         root, some = _roots(linked, ids), linked.any(axis=1)
         links = linked @ copies
