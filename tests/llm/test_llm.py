@@ -213,6 +213,18 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_long_secrets(spark):
+    rng = random.Random(6)
+    part = lambda n: "".join(rng.choice("abcXYZ0189") for _ in range(n))
+    values = [part(300), part(5000), f"{part(120)}.{part(180)}.{part(340)}", "-".join(part(50) for _ in range(100)), "0af9" * 80]
+    df = spark.createDataFrame([(i, f"see token={v}. and password: '{v}' end") for i, v in enumerate(values)], "doc_id long, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        new, again = re.fullmatch(r"see token=(\S+)\. and password: '(\S+)' end", r.text).groups()
+        old = values[r.doc_id]
+        assert r.n_pii == 2 and new == again and len(new) == len(old) and [c in ".-" for c in new] == [c in ".-" for c in old]
+        assert sum(a == b for a, b in zip(new, old, strict=True)) < len(old) / 2 and not any(old[i : i + 20] in new for i in range(len(old) - 20))
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (9, "http://b\nc", "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70000), (6, "u", "own")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("records", F.lit(1))

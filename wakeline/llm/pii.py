@@ -7,7 +7,7 @@ depends on the key, the kind and the format only, so equal values stay equal acr
 ones of one format stay different.
 
 Cases: a null text stays null and an empty one empty, with no finds; a candidate that fails its checks stays
-as it is; other columns are carried along, ``n_pii`` and ``pii_kinds`` are replaced.
+as it is; secrets may have any length; other columns are carried along, ``n_pii`` and ``pii_kinds`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ LOW_DIGITS, HIGH_DIGITS = "01", "23456789"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key|apikey) ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{7,255}[A-Za-z0-9_/+-](?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key|apikey) ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{7,}[A-Za-z0-9_/+-](?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])",
