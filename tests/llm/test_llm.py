@@ -213,6 +213,22 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_shorter_readings(spark):
+    card, iban = "4111 1111 1111 1111", "AT611904300234573201"
+    rows = [
+        ("ES9121000418450200051332 EUR", "ES9121000418450200051332", 1), (f"{iban} BIC", iban, 1), (f"{iban} BANK AG", iban, 1), (f"({iban} DE89 3704 0044 0532 0130 00)", iban, 2), (f"{iban} {card}", iban, 2),
+        (f"card {card} 123", card, 1), (f"{card} 12/26", card, 1), (f"{card} 4111-1111-1111-1111 x", card, 2), (f"{card} 2001-02-28", card, 2), (f"{card} 123-45-6789, a@b.com", card, 3), (f"{card} 12345678", card, 1),
+        ("+44 20 7946 0958 2024 1234", "+44 20 7946 0958", 1), (" ".join([card] * 600), card, 600), (card, card, 1),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    for i, (t, old, n) in enumerate(rows):
+        assert got[i].n_pii == n and old not in got[i].text and len(got[i].text) == len(t)
+    ends = {0: " EUR", 1: " BIC", 2: " BANK AG", 5: " 123", 6: " 12/26", 10: " 12345678", 11: " 1234"}
+    assert all(got[i].text.endswith(e) for i, e in ends.items()) and "0130 00" not in got[3].text and "2001-02-28" not in got[8].text
+    assert got[12].text.split(" ")[:4] * 600 == got[12].text.split(" ") and got[13].text == got[12].text[: len(card)]
+
+
 def test_long_secrets(spark):
     rng = random.Random(6)
     part = lambda n: "".join(rng.choice("abcXYZ0189") for _ in range(n))

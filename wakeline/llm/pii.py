@@ -1,13 +1,15 @@
 """Format-preserving pseudonyms for personal data and secrets, from SQL functions alone.
 
-One pattern finds candidates. A candidate that passes the checks of its kind (Luhn digit, octets,
+One pattern finds candidates, at every place the longest. Card numbers, IBANs and phone numbers may be shorter
+than what looks like them: the longest reading that ends between two groups and passes its checks counts, the rest
+is text again. A candidate that passes the checks of its kind (Luhn digit, octets,
 calendar, IBAN remainder, number plan) is permuted by a keyed Feistel network within its format: digits stay
 digits, letters stay letters of their case, check digits are set anew, dates stay dates. The permutation
 depends on the key, the kind and the format only, so equal values stay equal across documents and different
 ones of one format stay different.
 
 Cases: a null text stays null and an empty one empty, with no finds; a candidate that fails its checks stays
-as it is; secrets may have any length; other columns are carried along, ``n_pii`` and ``pii_kinds`` are replaced.
+as it is, and a valid one that begins within it is found; secrets may have any length; other columns are carried along, ``n_pii`` and ``pii_kinds`` are replaced.
 """
 
 from __future__ import annotations
@@ -28,15 +30,27 @@ PATTERNS = {
     "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])",
+    "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: Kinds with shorter readings, and the least length of one.
+SHORTER = {"iban": 12, "phone": 7, "card": 13}
+#: Characters of an IBAN by country: preferred among valid readings. Other countries and lengths are taken as well.
+IBAN_LENGTHS = {
+    n: countries.split()
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+#: Places are walked in runs of so many, so that lists grow in proportion to a text.
+_RUN = 256
 ROUNDS = 8
 _FIRST_DAY, _DAYS, _HIGH, _LOW = "1900-01-01", 73049, 271, 270  # 1900 to 2099; 271 * 270 is a little more than the days
 
 
-def _numbered(patterns: dict[str, str]) -> str:
-    """One pattern; each kind is tried in turn at every place. Back references are moved to their place in it."""
-    out, groups = [], 0
+def _numbered(patterns: dict[str, str], groups: int = 0) -> str:
+    """One pattern; each kind is tried in turn at every place. Back references are moved to their place in it, behind ``groups`` others."""
+    out = []
     for p in patterns.values():
         own = p.count("([")  # the only capturing groups are those of one character class
         for g in range(own, 0, -1):
@@ -127,20 +141,29 @@ def _refill(form: Column, digits: Column, what: str = "[0-9]") -> Column:
     return F.aggregate(_chars(form), F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), step, lambda acc: acc["t"])
 
 
+def _card_valid(d: Column) -> Column:
+    body = F.substr(d, F.lit(1), F.length(d) - 1)
+    return (F.pmod(_luhn(body) + F.substr(d, F.length(d), F.lit(1)).cast("int"), F.lit(10)) == 0) & ~d.rlike(r"^(.)\1*$")
+
+
 def _card(v: Column, key: str) -> Column:
     def run(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        valid = (F.pmod(_luhn(body) + F.substr(d, F.length(d), F.lit(1)).cast("int"), F.lit(10)) == 0) & ~d.rlike(r"^(.)\1*$")
+        valid = _card_valid(d)
         new = _bind(_by_character(body, key, "card"), lambda b: F.concat(b, F.pmod(F.lit(10) - F.pmod(_luhn(b), F.lit(10)), F.lit(10)).cast("string")))
         return F.when(valid, _refill(v, new))
 
     return _bind(F.regexp_replace(v, "[^0-9]", ""), run)
 
 
+def _iban_valid(x: Column) -> Column:
+    return _mod97(F.concat(F.substr(x, F.lit(5), F.length(x)), F.substr(x, F.lit(1), F.lit(4)))) == 1
+
+
 def _iban(v: Column, key: str) -> Column:
     def run(x: Column) -> Column:
         body, country = F.substr(x, F.lit(5), F.length(x)), F.substr(x, F.lit(1), F.lit(2))
-        valid = _mod97(F.concat(body, F.substr(x, F.lit(1), F.lit(4)))) == 1
+        valid = _iban_valid(x)
         new = _bind(_by_character(body, key, "iban"), lambda b: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
         return F.when(valid, _refill(v, new, "[A-Z0-9]"))
 
@@ -210,28 +233,75 @@ def _cloud_key(v: Column, key: str) -> Column:
 _RULES = {"email": _email, "cloud_key": _cloud_key, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def _reading(value: Column, kind: str) -> Column:
+    """The part of a candidate that is a valid value of its kind: the longest, but an IBAN of its country's length first. Null if none is."""
+    plain = lambda v: F.regexp_replace(v, "[^0-9A-Z]", "")
+    valid = {"iban": lambda v: _iban_valid(plain(v)), "phone": lambda v: F.length(plain(v)).between(7, 15), "card": lambda v: _card_valid(plain(v))}[kind]
+
+    def fits(n: Column) -> Column:
+        v = F.substr(value, F.lit(1), n)
+        return ~F.substr(value, n + 1, F.lit(1)).rlike("[0-9A-Za-z]") & v.rlike(rf"^(?:{PATTERNS[kind]})$") & valid(v)
+
+    ends = F.filter(F.sequence(F.lit(SHORTER[kind]), F.greatest(F.length(value), F.lit(SHORTER[kind]))), lambda n: (n <= F.length(value)) & fits(n))
+    usual = F.lit(0)
+    if kind == "iban":
+        for n, countries in IBAN_LENGTHS.items():
+            usual = F.when(F.substr(value, F.lit(1), F.lit(2)).isin(*countries), n).otherwise(usual)
+    best = F.array_max(F.transform(ends, lambda n: F.struct((F.length(plain(F.substr(value, F.lit(1), n))) == usual).alias("usual"), n.alias("n"))))
+    return F.substr(value, F.lit(1), best["n"])
+
+
 def pseudonym(value: Column, key: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
-    """A struct of kind and pseudonym for a candidate; null where it fails the checks of every kind.
+    """A struct of kind, pseudonym and how many characters of a candidate it replaces; null where the candidate fails the checks of every kind.
 
     A value that looks like several kinds is of the first whose checks it passes.
     """
-    tried = [F.struct(F.lit(k).alias("kind"), F.when(value.rlike(rf"^(?:{PATTERNS[k]})$"), _RULES[k](value, key)).alias("new")) for k in kinds]
-    return F.get(F.filter(F.array(*tried), lambda t: t["new"].isNotNull()), 0)
+
+    def tried(k: str) -> Column:
+        made = lambda v: F.struct(F.lit(k).alias("kind"), _RULES[k](v, key).alias("new"), F.length(v).alias("taken"))
+        return F.when(value.rlike(rf"^(?:{PATTERNS[k]})$"), _bind(_reading(value, k), made) if k in SHORTER else made(value))
+
+    return F.get(F.filter(F.array(*map(tried, kinds)), lambda t: t["new"].isNotNull()), 0)
+
+
+def _walk(found: Column) -> Column:
+    """Pieces of a text in order, each with the pseudonym of the candidate at its beginning, as replaced pieces with their kinds.
+
+    A value that is replaced takes characters of its own piece and of those after it; candidates that begin there are passed over.
+    """
+    none = F.array().cast("array<struct<text:string,kind:string>>")
+
+    def step(acc: Column, f: Column) -> Column:
+        n, free, p = F.length(f["piece"]), acc["skip"] == 0, f["p"]
+        hit = free & p["kind"].isNotNull()
+        gone = F.when(hit, p["taken"]).otherwise(acc["skip"])
+        text = F.concat(F.when(hit, p["new"]).otherwise(""), F.substr(f["piece"], gone + 1, n))
+        return F.struct(F.greatest(gone - n, F.lit(0)).alias("skip"), F.concat(acc["out"], F.array(F.struct(text.alias("text"), F.when(hit, p["kind"]).alias("kind")))).alias("out"))
+
+    def run(acc: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(found, i * _RUN + 1, F.lit(_RUN)), F.struct(acc["skip"].alias("skip"), none.alias("out")), step)
+        return _bind(own, lambda r: F.struct(r["skip"].alias("skip"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<struct<text:string,kind:string>>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(found) / _RUN).cast("int")), start, run, lambda acc: F.flatten(acc["out"]))
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """Replaces personal data and secrets in ``text``; adds ``n_pii`` (how many) and ``pii_kinds`` (sorted, distinct)."""
-    pattern = _numbered({k: PATTERNS[k] for k in kinds})
+    pattern = _numbered({k: PATTERNS[k] for k in kinds}, 1)  # in group 1
     value = F.col(text)
     some = F.coalesce(value.rlike(r"[0-9@]|(?:password|passwd|pwd|secret|token|key) ?[=:]"), F.lit(False))
-    spots = F.when(some, F.regexp_extract_all(value, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_found", F.transform(spots, lambda v: F.struct(v.alias("old"), pseudonym(v, key, kinds).alias("p"))))
-    gaps = F.split(value, pattern, -1)
-    pieces = F.zip_with(gaps, "_found", lambda gap, f: F.concat(gap, F.coalesce(f["p"]["new"], f["old"], F.lit(""))))
-    hits = F.filter("_found", lambda f: f["p"]["kind"].isNotNull())
+    led = F.concat(F.lit("\n"), value)  # so that no candidate begins at the first character, where nothing is split off
+    spots = F.when(some, F.regexp_extract_all(led, F.lit(f"(?=({pattern}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("_spots", spots)
+    gone = F.lit(None).cast("struct<kind:string,new:string,taken:int>")
+    pieces = F.transform(F.split(led, f"(?=({pattern}))", -1), lambda p, i: F.struct(p.alias("piece"), F.when(i > 0, pseudonym(F.get("_spots", i - 1), key, kinds)).otherwise(gone).alias("p")))
+    df = df.withColumn("_found", F.when(F.size("_spots") > 0, pieces))
+    df = df.withColumn("_found", F.when(F.col("_found").isNotNull(), _walk(F.col("_found"))))
+    hits = F.coalesce(F.filter("_found", lambda f: f["kind"].isNotNull()), F.array().cast("array<struct<text:string,kind:string>>"))
     return (
         df.withColumn("n_pii", F.size(hits).cast("bigint"))
-        .withColumn("pii_kinds", F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda f: f["p"]["kind"]))), ","))
-        .withColumn(text, F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(value))
-        .drop("_found")
+        .withColumn("pii_kinds", F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda f: f["kind"]))), ","))
+        .withColumn(text, F.when(F.col("_found").isNotNull(), F.substr(F.array_join(F.transform("_found", lambda f: f["text"]), ""), F.lit(2))).otherwise(value))
+        .drop("_found", "_spots")
     )
