@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 A stage's result is written before the next one reads it. Nulls, empty and long texts, repeated rows, empty tables and more
-columns are as each operator's module says; of rows that share a doc_id, the near-duplicate stage keeps one.
+columns are as each operator's module says; ids may be null or repeated: the near-duplicate
+stage goes by rows, and keeps one of rows that share doc_id and text.
 """
 
 from __future__ import annotations
@@ -22,9 +23,14 @@ def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest id."""
-    linked = jaccard.link(docs, k=5, percent=80)
-    first = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows, row = docs, "doc_id"
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():  # ids do not tell rows apart: numbers in the order of ids do
+        row = "_row"
+        rows = Scratch(spark, "rows").keep(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn(row, F.monotonically_increasing_id()))
+    linked = jaccard.link(rows, k=5, percent=80, doc_id=row)
+    first = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    kept = rows.join(first, row, "left_semi").select(*docs.columns)
+    return kept if row == "doc_id" else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

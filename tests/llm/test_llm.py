@@ -442,6 +442,15 @@ def test_pipeline(spark, corpus, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept)
 
 
+def test_deduplicated_by_row(spark):
+    rng = random.Random(12)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (7, c), (7, d), (3, c), (7, d), (9, a), (None, b), (4, ""), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.deduplicated(spark, df, "")
+    assert out.columns == df.columns and sorted(((r.doc_id or 0, r.text) for r in out.collect())) == sorted([(0, b), (7, d), (3, c), (9, a), (4, "")])
+
+
 def test_chunks_are_whole_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 30, None, "", "b" * 100, "c"]})
     seen = [bytes(d[a:b]).decode() for _, d, o in words.chunks(iter([batch]), "text", 40) for a, b in zip(o[:-1], o[1:], strict=True)]
