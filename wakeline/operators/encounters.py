@@ -41,12 +41,18 @@ def _sides(states: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pairs_within(states: DataFrame, nm: float, max_lat: float = 60.0) -> DataFrame:
-    """Pairs of a grid time at most ``nm`` apart, by an equi-join on buckets at least that wide up to ``max_lat``; the distance decides."""
+    """Pairs of a grid time at most ``nm`` apart, by an equi-join on buckets at least that wide up to ``max_lat``; the distance decides.
+
+    Nearer to a pole a state of side b is put in as many buckets east and west as its latitude asks for.
+    """
     tall = nm / 60.0 * 1.01
     wide = tall / math.cos(math.radians(max_lat))
     a, b = _sides(states)
     at = lambda s: (F.floor(F.col(f"lon_{s}") / wide), F.floor(F.col(f"lat_{s}") / tall))
-    around = F.explode(F.array(*[F.struct((at("b")[0] + i).alias("bx"), (at("b")[1] + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    poleward = F.radians(F.least(F.abs("lat_b") + tall, F.lit(89.999999)))
+    far = F.greatest(F.lit(1), F.least(F.ceil(tall / F.cos(poleward) / wide), F.lit(math.ceil(360 / wide)))).cast("int")
+    across = F.transform(F.sequence(-far, far), lambda i: F.array(*[F.struct((at("b")[0] + i).alias("bx"), (at("b")[1] + j).alias("by")) for j in (-1, 0, 1)]))
+    around = F.explode(F.flatten(across))
     near = b.withColumn("_b", around).select("*", "_b.bx", "_b.by").drop("_b")
     return a.withColumns({"bx": at("a")[0], "by": at("a")[1]}).join(near, ["g", "bx", "by"]).where(F.col("mmsi_a") < F.col("mmsi_b")).drop("bx", "by").where(_apart() <= nm)
 
