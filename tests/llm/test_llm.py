@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -112,17 +113,22 @@ def test_language(spark):
     rng = random.Random(3)
     vocabulary = {"en": "the and of with that this which from".split(), "de": "der und die nicht schön mit für über".split(), "fr": "le est été dans pour très avec où".split()}
     rows = [(i, " ".join(rng.choice(vocabulary[k]) for _ in range(60)), k) for i in range(300) for k in [("en", "de", "fr")[i % 3]]]
-    df = spark.createDataFrame([*rows, (901, None, None), (902, "123 !!", None), (903, "", "en")], "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))
+    df = spark.createDataFrame([*rows, (901, None, None), (902, "123 !!", None), (903, "", "en")], "doc_id long, text string, lang string").withColumns({c: F.lit("mine") for c in ("score", "letters", "_letters")})
     net = langid.fit(df.where("doc_id % 5 <> 0"), langid.Config(per_language=60))
     got = {r.doc_id: r for r in langid.identify(df, net).collect()}
     held = [i for i, _, k in rows if i % 5 == 0]
     assert sum(got[i].lang_pred == rows[i][2] for i in held) / len(held) >= 0.95 and all(0 <= r.score <= 1 for r in got.values())
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (901, 902, 903))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (901, 902, 903)) and {r.letters + r._letters for r in got.values()} == {"minemine"}
     assert langid.fit(df.limit(0)) is None and {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
     x, owner, own = langid.cut(np.frombuffer(b"a" * 600 + b"bb", np.uint8), np.array([0, 600, 600, 602]), 256)
     assert owner.tolist() == [0, 0, 0, 2] and own.tolist() == [256, 256, 88, 2] and x[3, :3].tolist() == [98, 98, 32]
 
 
+def test_language_learns_every_language(spark):
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.pmod("id", F.lit(600))).alias("text"), F.concat(F.lit("l"), F.pmod("id", F.lit(600))).alias("lang"))
+    assert len({r[0] for r in langid.sample(df, langid.Config(per_language=2))}) == 600
+
+
 def links(rows, k, percent):
     found = []
     for r in rows:
@@ -290,8 +296,54 @@ def test_quality_limits(spark):
     df = spark.createDataFrame(good + junk, DOCS)
     kept = {r.doc_id for r in quality.keep_good(df).collect()}
     assert kept == set(range(300)) and quality.keep_good(df).columns == df.columns
-    merged = quality.limits(quality.sketches(quality.measure(df.where("doc_id < 100"))).unionByName(quality.sketches(quality.measure(df.where("doc_id >= 100")))).groupBy("_0", "_1", "rule", "bucket").agg(F.sum("n").alias("n")))
-    assert merged.collect() == quality.limits(quality.sketches(quality.measure(df))).collect()
+    sketch = lambda part: quality.sketches(*quality._measured(part, quality.Config(), "text"))
+    merged = sketch(df.where("doc_id < 100")).unionByName(sketch(df.where("doc_id >= 100"))).groupBy("lang_key", "source_key", "rule", "bucket").agg(F.sum("n").alias("n"))
+    assert merged.count() == sketch(df).count() and quality.limits(merged).collect() == quality.limits(sketch(df)).collect()
+
+
+def test_quality_limits_follow_the_data(spark):
+    """Verdicts against exact quantiles of each group; one and the same share passes in one group and not in the other."""
+    rng = random.Random(2)
+    rows = []
+    for source, usual in (("plain", 0.02), ("code", 0.6)):
+        for i in range(150):
+            share = 0.5 if i == 149 else max(0.0, rng.gauss(usual, usual / 8))
+            rows.append((len(rows), " ".join(w + "#" * (rng.random() < share) + "," * (rng.random() < 0.1) for w in sentence(rng, 200).split()), "en", source, 0, 0, 0))
+    rows += [(1000 + i, sentence(rng, 40) + " Q" * i, "de", ["a", "b"][i % 2], 0, 0, 0) for i in range(30)]  # too few: all languages judge
+    out = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not out[149].kept and out[299].kept  # half the words with a sign: too many in prose, usual in code
+    ok = [r for r in out.values() if r.n_words >= 20]
+
+    g = 1.01 / 0.99
+    mid = lambda x: g ** math.ceil(math.log(x) / math.log(g)) * 2 / (1 + g) if x > 1e-6 else 0.0  # noqa: E731  a value to a per cent
+
+    def limit(rule, group):
+        x = sorted((getattr(r, rule.top) / getattr(r, rule.bottom) if getattr(r, rule.bottom) else 0.0) for r in group)
+        for lo, hi in quality.PAIRS:
+            a, b = (mid(x[-(-p * len(x) // 100) - 1]) for p in (lo, hi))
+            if b > a:
+                return b + 8 * (b - a)
+        return float("inf")
+
+    unlike = 0
+    for r in ok:
+        own = [x for x in ok if (x.lang, x.source) == (r.lang, r.source)]
+        own = own if len(own) >= 100 else [x for x in ok if x.lang == r.lang]
+        own = own if len(own) >= 100 else ok
+        for rule in quality.RULES:
+            share, most = (getattr(r, rule.top) / getattr(r, rule.bottom) if getattr(r, rule.bottom) else 0.0), limit(rule, own)
+            if abs(share - most) > 1e-9:
+                unlike += (rule.name in r.reasons.split(",")) != (share > most)
+    assert unlike == 0
+
+
+def test_quality_clashing_names(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, sentence(rng, 50), "en", "s", 5) for i in range(120)], "_0 long, text string, lang string, source string, n_lines long")
+    df = df.withColumns({c: F.lit("mine") for c in ("counts", "limit", "lang_key", "source_key", "kept", "reasons", "n_words", "_limit_marks")})
+    out = quality.keep_good(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    assert quality.score(df).where("kept").count() == 120
 
 
 def test_shards(spark, corpus):
@@ -328,7 +380,7 @@ def test_decontamination(spark, corpus, monkeypatch):
     rows = list(corpus)
     for n, (i, t) in enumerate(items):
         rows.append((5000 + n, f"{sentence(rng, 30)}, {(t or '').upper()} ... {sentence(rng, 5)} {t or ''}", "en", "s", 0, 0, 0))
-    df, bench = spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit("mine")), spark.createDataFrame(items, "item_id long, text string")
+    df, bench = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("mine") for c in ("spans", "_state", "n_words")}), spark.createDataFrame(items, "item_id long, text string")
     windows = collections.defaultdict(set)
     for i, t in items:
         w = alnum(t)
@@ -349,6 +401,7 @@ def test_decontamination(spark, corpus, monkeypatch):
     whole = next(m for m in got[5003].matches if m.item_id == "3")
     assert whole.length >= len(alnum(items[3][1]))
     clean = decontam.remove(df, bench)
+    assert {r.spans + r._state + r.n_words for r in clean.collect()} == {"mine" * 3}
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if not r.contaminated}
     assert decontam.report(df.drop("spans"), bench.limit(0)).where("contaminated").count() == 0 and decontam.report(df.drop("spans").limit(0), bench).count() == 0
 

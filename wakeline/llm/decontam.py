@@ -2,47 +2,66 @@
 
 A shard is a slice of a partition. Its suffix array holds every suffix that can hold a window: those that
 begin a long enough run of words which the benchmark knows. Every suffix of every item that is long enough
-for a window is searched in it by bisection, which gives all places of its window; neighbouring windows on one
-diagonal make up the longest verbatim matches. Items go to the tasks in blocks of bounded size, one after the other;
-between two blocks what is known so far is written to the shared folder.
+for a window, and whose first and last word the shard has, is searched in it by bisection, which gives all places of its
+window; neighbouring windows on one diagonal make up the longest verbatim matches.
+
+Items are made ready where they lie, in blocks of bounded size that are files in the shared folder; the driver knows
+their names only. A task reads a lot of texts, holds one block after the other against it and gives the lot out: the
+documents are read once, whatever the number of blocks, and nothing but the result is written.
 
 Words are folded A-Z and compared by 64-bit hashes. Cases: a null text, or one without words, has no words and
-no hits; an item without words is never found; items that share an id are one; repeated rows are judged each;
-an empty benchmark finds nothing; other columns are carried along, the result's own names are replaced.
+no hits; an item without words is never found; items that share an id are one; a null item id reads "None"; repeated
+rows are judged each; an empty benchmark finds nothing; other columns are carried along. ``search`` replaces columns of the
+names of its own results, ``remove`` none.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import Scratch
-from .words import ALNUM, chunks, prefix_hash, scan, with_columns
+from .store import Scratch, map_arrow, unused
+from .words import _LANES, ALNUM, Words, chunks, mix, prefix_hash, scan, with_columns
 
-#: Bytes of item texts that one pass over the documents takes to every task.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts in a block (which takes about five times as much in a task), and of the texts that a block is held against at once.
+BLOCK_BYTES, LOT_BYTES = 4 << 20, 8 << 20
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("doc_at", T.LongType()), T.StructField("item_at", T.LongType()), T.StructField("length", T.LongType())]))
-STATE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("matches", MATCHES)])
+RESULT = {"n_words": T.LongType(), "spans": T.ArrayType(T.LongType()), "matches": MATCHES}
+_KINDS = {
+    "n_words": pa.int64(), "spans": pa.list_(pa.int64()),
+    "matches": pa.list_(pa.struct([("item_id", pa.string()), ("doc_at", pa.int64()), ("item_at", pa.int64()), ("length", pa.int64())])),
+}
 
 
 @dataclass
 class Items:
-    """A block of items: distinct windows as rows of word numbers (0 fills up short ones), and who has them where."""
+    """A block of items: distinct windows as places in the items' word numbers, and who has them where."""
 
     ids: list[str]
     vocabulary: np.ndarray  # sorted hashes; a word's number is its place plus 1
-    windows: np.ndarray
+    sequence: np.ndarray  # word numbers of all items, one after the other
+    start: np.ndarray  # of each distinct window
     length: np.ndarray
     owner: np.ndarray  # of each window's places, by window
     at: np.ndarray
     first: np.ndarray
+    window: int
+
+    def rows(self, pick: np.ndarray) -> np.ndarray:
+        """Windows as rows of word numbers; 0 fills up short ones."""
+        steps = np.arange(self.window)
+        out = self.sequence[np.minimum(self.start[pick][:, None] + steps, len(self.sequence) - 1)]
+        out[steps >= self.length[pick][:, None]] = 0
+        return out
 
 
 def prepare(rows: list[tuple[object, str | None]], window: int = 10) -> Items:
@@ -50,17 +69,18 @@ def prepare(rows: list[tuple[object, str | None]], window: int = 10) -> Items:
     data = np.frombuffer(b"".join(texts), np.uint8)
     words = scan(data, np.cumsum([0, *map(len, texts)]), ALNUM, prefix_hash(data, True))
     vocabulary, number = np.unique(words.hash, return_inverse=True)
-    found: dict[tuple, list[tuple[int, int]]] = {}
-    for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-        seq = (number[a:b] + 1).tolist()
-        for j in range(max(1, len(seq) - window + 1) if seq else 0):
-            found.setdefault(tuple(seq[j : j + window]), []).append((i, j))
-    table = np.zeros((len(found), window), np.int64)
-    for k, w in enumerate(found):
-        table[k, : len(w)] = w
-    places = [p for of in found.values() for p in of]
-    owner, at = (np.array([p[x] for p in places], np.int64) for x in (0, 1))
-    return Items([str(i) for i, _ in rows], vocabulary, table, (table > 0).sum(axis=1), owner, at, np.cumsum([0, *map(len, found.values())]))
+    n = words.count
+    count = np.where(n >= window, n - window + 1, (n > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(n)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    start, length = words.first[owner] + at, np.minimum(n[owner], window)
+    key = length.astype(np.uint64)
+    for j in range(window):
+        key = key + np.where(j < length, words.hash[np.minimum(start + j, max(len(words.hash) - 1, 0))], np.uint64(0)) * _LANES[j]
+    _, some, kind, times = np.unique(mix(key), return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(kind, kind="stable")
+    small = lambda x: x.astype(np.int32)
+    return Items([str(i) for i, _ in rows], vocabulary, small(number + 1), small(start[some]), small(length[some]), small(owner[order]), small(at[order]), np.cumsum([0, *times.tolist()]), window)
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -95,7 +115,7 @@ def bisect(seq: np.ndarray, sa: np.ndarray, windows: np.ndarray, length: np.ndar
 def occurrences(items: Items, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of all windows in a shard: window, index of the word where it begins."""
     none = np.zeros(0, np.int64)
-    if not len(hashes) or not len(items.windows):
+    if not len(hashes) or not len(items.start):
         return none, none
     at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     number = np.where(items.vocabulary[at] == hashes, at + 1, 0)
@@ -112,16 +132,19 @@ def occurrences(items: Items, hashes: np.ndarray, first: np.ndarray) -> tuple[np
     source = np.repeat(runs, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     seq = np.append(number, 0)[source]
     seq[np.cumsum(size) - 1] = 0
-    sa = suffix_array(seq, items.windows.shape[1])
-    low, high = (bisect(seq, sa, items.windows, items.length, right) for right in (False, True))
+    sa = suffix_array(seq, items.window)
+    there = np.zeros(len(items.vocabulary) + 1, bool)
+    there[seq] = True
+    pick = np.flatnonzero(there[items.sequence[items.start]] & there[items.sequence[items.start + items.length - 1]])
+    windows, length = items.rows(pick), items.length[pick]
+    low, high = (bisect(seq, sa, windows, length, right) for right in (False, True))
     times = high - low
-    window = np.repeat(np.arange(len(times)), times)
     spot = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return window, source[sa[spot]]
+    return np.repeat(pick, times), source[sa[spot]]
 
 
-def longest(items: Items, window: np.ndarray, word: np.ndarray, text_of: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[str, int, int, int]]]:
-    """For each text, each item's longest verbatim match: item, place in the text, place in the item, words."""
+def longest(items: Items, window: np.ndarray, word: np.ndarray, text_of: np.ndarray, first: np.ndarray) -> dict[tuple[int, str], tuple[int, int, int]]:
+    """Each text's and item's longest verbatim match: words, then place in the text and place in the item, both negative, so that of equal ones the first is the greatest."""
     times = np.diff(items.first)[window]
     spot = np.repeat(items.first[window], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     owner, at, word = items.owner[spot], items.at[spot], np.repeat(word, times)
@@ -136,72 +159,122 @@ def longest(items: Items, window: np.ndarray, word: np.ndarray, text_of: np.ndar
     best: dict[tuple[int, str], tuple[int, int, int]] = {}
     for h, n in zip(head.tolist(), (at[last] - at[head] + size[head]).tolist(), strict=True):
         key, value = (int(text[h]), items.ids[owner[h]]), (n, -int(word[h] - first[text[h]]), -int(at[h]))
-        if key not in best or value > best[key]:
-            best[key] = value
-    out: dict[int, list] = {}
-    for (t, i), (n, w, a) in best.items():
-        out.setdefault(t, []).append((i, -w, -a, n))
-    return out
+        best[key] = max(best.get(key, value), value)
+    return best
+
+
+class _Shard:
+    """Rows with their words, and what the blocks so far have found in them."""
+
+    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+        self.rows = rows
+        self.words: Words = scan(data, offsets, ALNUM, prefix_hash(data, True))
+        self.text_of = np.repeat(np.arange(rows.num_rows, dtype=np.int32), self.words.count)
+        self.hit = np.zeros(len(self.words.hash), bool)
+        self.best: dict[tuple[int, str], tuple[int, int, int]] = {}
+
+    def search(self, items: Items) -> None:
+        window, word = occurrences(items, self.words.hash, self.words.first)
+        if not len(word):
+            return
+        cover = np.zeros(len(self.hit) + 1, np.int64)
+        np.add.at(cover, word, 1)
+        np.add.at(cover, word + items.length[window], -1)
+        self.hit |= np.cumsum(cover[:-1]) > 0
+        for key, value in longest(items, window, word, self.text_of, self.words.first).items():
+            self.best[key] = max(self.best.get(key, value), value)
+
+    def result(self) -> dict[str, pa.Array]:
+        hit, first, n = self.hit, self.words.first, self.rows.num_rows
+        turn = np.zeros(len(hit) + 1, bool)  # a span never goes over the end of a text
+        turn[first] = True
+        before, after = np.concatenate([[False], hit[:-1]])[: len(hit)], np.append(hit[1:], False)[: len(hit)]
+        start = np.flatnonzero(hit & (~before | turn[:-1]))
+        end = np.flatnonzero(hit & (~after | turn[1:])) + 1
+        spans: list[list[int]] = [[] for _ in range(n)]
+        for a, b, t in zip(start.tolist(), end.tolist(), self.text_of[start].tolist(), strict=True):
+            spans[t] += [a - int(first[t]), b - int(first[t])]
+        matches: list[list[dict]] = [[] for _ in range(n)]
+        for (t, item), (size, w, a) in sorted(self.best.items()):
+            matches[t].append({"item_id": item, "doc_at": -w, "item_at": -a, "length": size})
+        return {k: pa.array(v, _KINDS[k]) for k, v in (("n_words", self.words.count.tolist()), ("spans", spans), ("matches", matches))}
+
+
+def _load(path: str) -> Items:
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f:
+        return pickle.loads(f.read())
+
 
+def _search(paths: list[str], text: str, names: dict[str, str]) -> Callable:
+    """``names``: of the results that are wanted, and what to call them."""
 
-def _search(items: Items, text: str, state: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple[str, Items] | None = None
+
+        def finish(lot: list[_Shard]) -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            for path in paths:
+                if block is None or block[0] != path:
+                    block = None  # before the next one is read
+                    block = (path, _load(path))
+                for shard in lot:
+                    shard.search(block[1])
+            for shard in lot:
+                found = shard.result()
+                yield with_columns(shard.rows, {new: found[k] for k, new in names.items()})
+
+        lot, size = [], 0
         for rows, data, offsets in chunks(batches, text):
-            words = scan(data, offsets, ALNUM, prefix_hash(data, True))
-            window, word = occurrences(items, words.hash, words.first)
-            earlier = rows.column(rows.schema.get_field_index(state)).to_pylist() if state in rows.schema.names else [None] * rows.num_rows
-            text_of = np.repeat(np.arange(rows.num_rows), words.count)
-            cover = np.zeros(len(words.hash) + 1, np.int64)
-            np.add.at(cover, word, 1)
-            np.add.at(cover, word + items.length[window], -1)
-            for t, s in enumerate(earlier):
-                for a, b in zip(s["spans"][::2], s["spans"][1::2], strict=True) if s else ():
-                    cover[words.first[t] + a] += 1
-                    cover[words.first[t] + b] -= 1
-            hit = np.cumsum(cover[:-1]) > 0
-            turn = np.zeros(len(hit) + 1, bool)  # a span neither goes over the end of a text
-            turn[words.first] = True
-            before, after = np.concatenate([[False], hit[:-1]]), np.append(hit[1:], False)
-            start = np.flatnonzero(hit & (~before[: len(hit)] | turn[:-1]))
-            end = np.flatnonzero(hit & (~after[: len(hit)] | turn[1:])) + 1
-            spans: dict[int, list[int]] = {}
-            for a, b, t in zip(start.tolist(), end.tolist(), text_of[start].tolist(), strict=True):
-                spans.setdefault(t, []).extend((a - int(words.first[t]), b - int(words.first[t])))
-            found = longest(items, window, word, text_of, words.first) if len(word) else {}
-            out = []
-            for t in range(rows.num_rows):
-                now = [dict(zip(("item_id", "doc_at", "item_at", "length"), m, strict=True)) for m in found.get(t, ())]
-                now += [m for m in (earlier[t]["matches"] if earlier[t] else ()) if m["item_id"] not in {x["item_id"] for x in now}]
-                out.append({"n_words": int(words.count[t]), "spans": spans.get(t, []), "matches": sorted(now, key=lambda m: m["item_id"])})
-            kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("doc_at", pa.int64()), ("item_at", pa.int64()), ("length", pa.int64())])))])
-            yield with_columns(rows, {state: pa.array(out, kind)}, drop=(state,))
+            lot.append(_Shard(rows, data, offsets))
+            size += len(data)
+            if size >= LOT_BYTES or len(paths) < 2:  # one block is held anyway
+                yield from finish(lot)
+                lot, size = [], 0
+        yield from finish(lot)
+
+    return run
+
+
+def _blocks(folder: str, window: int, limit: int) -> Callable:
+    """Writes blocks of items and gives their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = fs.FileSystem.from_uri(folder)
+
+        def put(rows: list) -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.items"  # a task that runs twice leaves a file that no list names
+            system.create_dir(at, recursive=True)
+            with system.open_output_stream(f"{at}/{name}") as f:
+                f.write(pickle.dumps(prepare(rows, window), 5))
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"]})
+
+        held, size = [], 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((i, t))
+                size += len(t or "")
+                if size >= limit:
+                    yield put(held)
+                    held, size = [], 0
+        if held:
+            yield put(held)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list]:
-    rows, size = [], 0
-    for r in benchmark.select(item_id, text).toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= BLOCK_BYTES:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+def _found(df: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, names: dict[str, str]) -> DataFrame:
+    scratch = Scratch(df.sparkSession, "decontam")
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("None")).alias("i"), F.col(item_text).alias("t")).where(F.octet_length("t") > 0)
+    size = items.agg(F.sum(F.octet_length("t").cast("bigint"))).first()[0] or 0
+    listed = scratch.keep(map_arrow(items.repartition(1 + size // BLOCK_BYTES), _blocks(f"{scratch.path}/items", window, BLOCK_BYTES), "path string"))
+    paths = sorted(r.path for r in listed.collect())  # a name for each BLOCK_BYTES of the benchmark
+    return map_arrow(df, _search(paths, text, names), T.StructType([*df.schema.fields, *(T.StructField(new, RESULT[k]) for k, new in names.items())]))
 
 
 def search(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Adds ``n_words``, ``spans`` (hit words: start, end, start, ...) and ``matches`` (each found item's longest verbatim match; of equal ones the first)."""
-    state = "_state"
-    df = df.drop("n_words", "spans", "matches", state)
-    scratch, blocks = Scratch(df.sparkSession, "decontam"), _blocks(benchmark, item_id, item_text)
-    for n, rows in enumerate(chain([next(blocks, [])], blocks)):
-        if n:  # one block at a time: neither driver nor tasks hold the next one beside it
-            df = scratch.keep(df)
-        fields = [f for f in df.schema.fields if f.name != state]
-        df = df.mapInArrow(_search(prepare(rows, window), text, state), T.StructType([*fields, T.StructField(state, STATE)]))
-    return df.select("*", f"{state}.*").drop(state)
+    return _found(df.drop(*RESULT), benchmark, window, text, item_id, item_text, {k: k for k in RESULT})
 
 
 def report(df: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", **columns: str) -> DataFrame:
@@ -213,8 +286,7 @@ def report(df: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str =
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("matches").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "matches")
 
 
-def remove(df: DataFrame, benchmark: DataFrame, window: int = 10, **columns: str) -> DataFrame:
+def remove(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which no item's window occurs, with the columns they came with."""
-    names = df.columns
-    hidden = {n: f"_own_{n}" for n in names if n in ("n_words", "spans", "matches")}
-    return search(df.withColumnsRenamed(hidden), benchmark, window, **columns).where(F.size("spans") == 0).select(*(F.col(hidden.get(n, n)).alias(n) for n in names))
+    (spans,) = unused(df, "spans")
+    return _found(df, benchmark, window, text, item_id, item_text, {"spans": spans}).where(F.size(spans) == 0).select(*df.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import Scratch, map_arrow
 from .words import _LANES, SPACED, Words, chunks, grams, mix, prefix_hash, scan
 
 #: Above so many members a posting list ties them to one member instead of giving pairs.
@@ -224,7 +224,7 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", t
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    all_docs = scratch.keep(docs.mapInArrow(_describe(k, percent), "doc_id bigint, size bigint, s1 bigint, s2 bigint, head array<bigint>"))
+    all_docs = scratch.keep(map_arrow(docs, _describe(k, percent), "doc_id bigint, size bigint, s1 bigint, s2 bigint, head array<bigint>"))
     classes = scratch.keep(all_docs.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
 
     reps = classes.select("node", "size", "copies")
@@ -235,7 +235,7 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", t
     rank = np.empty(len(gram), np.int64)
     rank[np.lexsort((gram, often["count"].to_numpy()))] = np.arange(len(gram))
 
-    heads = docs.mapInArrow(_ordered_heads(k, percent, gram[order], rank[order]), "doc_id bigint, size bigint, head array<bigint>")
+    heads = map_arrow(docs, _ordered_heads(k, percent, gram[order], rank[order]), "doc_id bigint, size bigint, head array<bigint>")
     entries = scratch.keep(heads.join(reps.select(F.col("node").alias("doc_id"), "size"), ["doc_id", "size"]).select(F.col("doc_id").alias("node"), F.col("size").cast("int").alias("size"), F.explode("head").alias("gram")))
     lists = entries.groupBy("gram").agg(F.count("*").alias("m"), F.min("node").alias("center")).where("m > 1")
     posts = scratch.keep(entries.join(lists, "gram"))
@@ -247,16 +247,21 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", t
     counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.max("p.need").alias("need")).where("n >= need").select("a", "b")
     tied = posts.where(F.col("m") > LONG).select(F.col("center").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     coarse = scratch.keep(components(counted.unionByName(tied), scratch))
+    scratch.drop(posts)
 
     nodes = scratch.keep(coarse.join(reps, "node"))
+    scratch.drop(coarse)
     keyed = scratch.keep(_blocks(nodes, percent, scratch).select("node", "copies", "component", "whole", "keys"))
-    likely = _marked(docs).mapInArrow(_among(_known(keyed.select("node"))), "doc_id bigint, text string")
-    own = likely.join(keyed.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_with_sets(k), "doc_id bigint, copies bigint, component bigint, whole boolean, keys array<struct<c1:int,i:int,c2:int,j:int,side:boolean>>, grams binary")
+    scratch.drop(nodes)
+    likely = map_arrow(_marked(docs), _among(_known(keyed.select("node"))), "doc_id bigint, text string")
+    own = map_arrow(likely.join(keyed.withColumnRenamed("node", "doc_id"), "doc_id"), _with_sets(k), "doc_id bigint, copies bigint, component bigint, whole boolean, keys array<struct<c1:int,i:int,c2:int,j:int,side:boolean>>, grams binary")
     rows = own.select(F.col("doc_id").alias("node"), "copies", "component", "whole", F.explode("keys").alias("key"), "grams").select("node", "copies", "component", "whole", "key.*", "grams")
     found = scratch.keep(rows.groupBy("component", "c1", "i", "c2", "j").applyInArrow(_multiply(percent), "node bigint, root bigint, links bigint, whole boolean"))
+    scratch.drop(keyed)
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     over = components(found.where(~F.col("whole")).select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     labels = found.where("whole").select("node", F.col("root").alias("component_id")).unionByName(over.select("node", F.col("component").alias("component_id"))).groupBy("node").agg(F.min("component_id").alias("component_id"))
     named = scratch.keep(classes.join(labels, "node", "left").join(links, "node", "left").select("s1", "s2", "size", F.coalesce("component_id", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    scratch.drop(found, classes)
     return all_docs.select("doc_id", "size", "s1", "s2").join(named, ["s1", "s2", "size"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import Scratch, map_arrow, unused
 from .words import chunks, with_columns
 
 UNDETERMINED = "und"
@@ -29,7 +30,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Config:
-    """The sample that the network learns from is bounded by ``per_language`` texts (about, then at most 1.5 times) of ``sample_chars`` characters."""
+    """The sample that the network learns from is bounded: ``per_language`` texts (about; 1.5 times over all at most) of ``sample_chars`` characters. Every language is learned."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 4, 6)
@@ -37,13 +38,16 @@ class Config:
     embedding: int = 8
     per_language: int = 400
     sample_chars: int = 1024
-    max_languages: int = 500
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
     seed: int = 7
 
 
+#: Up to so many languages their counts are broadcast to the texts.
+_FEW = 10_000
+
+
 @dataclass
 class Net:
     """Weights; ``filters[i]`` has the shape (width, embedding, filters)."""
@@ -190,15 +194,16 @@ def _predict(net: Net, text: str, letters: str) -> Callable:
 def sample(df: DataFrame, c: Config, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
     """Labelled pieces of texts for training, on the driver: about ``per_language`` of each language, chosen by a hash of the key."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(c.max_languages).collect()}
-    if not counts:
+    counts = Scratch(df.sparkSession, "langid").keep(labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")))
+    few = F.broadcast(counts) if (languages := counts.count()) <= _FEW else counts  # one row for each language
+    if not languages:
         return []
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * c.per_language / n)))]), F.col(lang))
     h = F.xxhash64(F.col(key), F.lit(c.seed))
     last = F.greatest(F.length(text) - c.sample_chars, F.lit(0))
     piece = F.substr(F.col(text), (F.pmod(F.xxhash64(F.col(key), F.lit(c.seed + 1)), last.cast("bigint") + 1) + 1).cast("int"), F.lit(c.sample_chars))
-    picked = labelled.where(F.col(lang).isin(*counts) & (F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)))
-    rows = picked.select(F.col(lang).alias("l"), piece.alias("t"), h.alias("h")).orderBy("h", "l", "t").limit(int(1.5 * c.per_language * len(counts))).collect()
+    share = F.least(F.lit(1.0), F.lit(1.2 * c.per_language) / F.col("n"))
+    drawn = labelled.select(F.col(lang).alias("l"), piece.alias("t"), h.alias("h")).join(few, "l").where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40))
+    rows = drawn.select("l", "t", "h").orderBy("h", "l", "t").limit(int(1.5 * c.per_language * languages)).collect()
     return [(r.l, r.t) for r in rows]
 
 
@@ -220,7 +225,8 @@ def identify(df: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
     if net is None:
         return rest.drop(text).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     letters: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rest = rest.withColumn("_letters", letters)
-    fields = [f for f in rest.schema.fields if f.name not in (text, "_letters")]
+    (known,) = unused(rest, "letters")
+    rest = rest.withColumn(known, letters)
+    fields = [f for f in rest.schema.fields if f.name not in (text, known)]
     out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rest.mapInArrow(_predict(net, text, "_letters"), out)
+    return map_arrow(rest, _predict(net, text, known), out)

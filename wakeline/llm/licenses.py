@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_arrow
 from .words import ALNUM, chunks, prefix_hash, scan
 
 #: Phrases and their labels.
@@ -152,4 +153,4 @@ def _scan(notices: tuple[Notice, ...]) -> Callable:
 def scan_licenses(df: DataFrame, notices: tuple[Notice, ...] = NOTICES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns, per row: ``doc_id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``notices`` (spans of words with their edits)."""
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return docs.mapInArrow(_scan(notices), f"doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices {SPANS}")
+    return map_arrow(docs, _scan(notices), f"doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices {SPANS}")

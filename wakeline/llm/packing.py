@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, map_arrow
 from .words import chunks
 
 CAPACITY, END = 1024, 2
@@ -189,14 +189,13 @@ def tokenise(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return docs.mapInArrow(_pieces(definition, capacity, end), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_arrow(docs, _pieces(definition, capacity, end), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces."""
     scratch = Scratch(pieces.sparkSession, "packing")
     rows = scratch.keep(pieces.withColumn("row", F.monotonically_increasing_id()))
-    rows = pieces.sparkSession.read.schema(rows.schema).parquet(rows._scratch_path)
     short = rows.where(F.col("length") < capacity)
     parts = max(1, math.ceil(short.count() / PART))
     now = short.select("row", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), "length")

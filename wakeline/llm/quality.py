@@ -1,12 +1,15 @@
 """Quality rules with thresholds from the data, by language and source.
 
 Each measure of a document goes into a quantile sketch of its language and source: counts of
-logarithmic buckets, which merge by addition, whatever the order. A limit is the upper quartile plus a multiple
-of the distance between the quartiles; small groups take the limits of their language, small languages
-those of all. Documents meet the limits of their group in a join and those beyond one are rejected.
+logarithmic buckets, which merge by addition, whatever the order. There are no fixed cutoffs: a limit is the upper
+quartile plus a multiple of the distance between the quartiles. Where the quartiles agree (most texts have none of it),
+the next wider pair of quantiles that differ takes their place; where none differ, there is no scale and no limit.
+Small groups take the limits of their language, small languages those of all. Documents meet the limits of their
+group in a join and those beyond one are rejected.
 
 Cases: a null text has no words and fails; null language or source is a group of its own; an empty table
-gives an empty one; repeated rows count and are judged each; other columns are carried along.
+gives an empty one; repeated rows count and are judged each; other columns, whatever their names, are carried along, but
+``measure`` and ``score`` replace columns of the names of their own results.
 """
 
 from __future__ import annotations
@@ -17,48 +20,50 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import Scratch
+from .store import Scratch, map_arrow, unused
 from .words import SPACED, chunks, grams, mix, prefix_hash, scan, span_hash, with_columns
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same", "n_marks", "n_upper", "n_letters")
+VERDICT = ("base_failed", "reasons", "kept")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b"!?#*$%&|<>@^~_=+\\/{}[]")] = True
-_UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_UPPER, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:127] = ~_LETTER[33:127]
+_MARK[48:58] = False
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject above the group's limit. ``least`` is the smallest limit: differences below it are no sign of anything."""
+    """Reject when ``top`` over ``bottom`` is above the group's limit."""
 
     name: str
     top: str
     bottom: str
-    least: float
 
 
-#: Shares that mark bad texts when they lie far above what is usual in their group.
+#: Shares that mark bad texts when they lie far above what is usual in their group. Marks are ASCII signs that are no letters or digits.
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 0.10),
-    Rule("marks", "n_marks", "n_words", 0.25),
-    Rule("capitals", "n_upper", "n_letters", 0.30),
-    Rule("repeats", "n_repeat_words", "n_words", 0.25),
-    Rule("same", "n_same", "n_words", 0.25),
-    Rule("lines", "n_dup_lines", "n_lines", 0.50),
-    Rule("length", "word_chars", "n_words", 12.0),
+    Rule("symbols", "n_symbols", "n_words"),
+    Rule("marks", "n_marks", "word_chars"),
+    Rule("capitals", "n_upper", "n_letters"),
+    Rule("repeats", "n_repeat_words", "n_words"),
+    Rule("same", "n_same", "n_words"),
+    Rule("lines", "n_dup_lines", "n_lines"),
+    Rule("length", "word_chars", "n_words"),
 )
+#: Pairs of quantiles, in per cent, of which the first that differ give the scale.
+PAIRS = ((25, 75), (10, 90), (5, 95), (2, 98), (1, 99))
 
 
 @dataclass(frozen=True)
 class Config:
     accuracy: float = 0.01
-    spread: float = 3.0
+    spread: float = 8.0
     min_group: int = 100
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -101,77 +106,100 @@ def count_texts(data: np.ndarray, offsets: np.ndarray, window: int = 8) -> dict[
     }
 
 
-def _measure(text: str, window: int, keep_text: bool) -> Callable:
+def _measure(text: str, window: int, keep_text: bool, into: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, text):
             found = count_texts(data, offsets, window)
-            yield with_columns(rows, {k: pa.array(found[k].astype(np.int64)) for k in COUNTS}, drop=() if keep_text else (text,))
+            packed = pa.StructArray.from_arrays([pa.array(found[k].astype(np.int64)) for k in COUNTS], list(COUNTS))
+            yield with_columns(rows, {into: packed}, drop=() if keep_text else (text,))
 
     return run
 
 
-def measure(df: DataFrame, c: Config = Config(), text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Adds the counts; without ``keep_text`` the text itself is left out. Columns of those names are replaced."""
-    df = df.drop(*COUNTS)
+def _measured(df: DataFrame, c: Config, text: str, keep_text: bool = False) -> tuple[DataFrame, str]:
+    """The table with a column of all counts, and its name, which is none of the table's."""
+    (into,) = unused(df, "counts")
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
-    return df.mapInArrow(_measure(text, c.window, keep_text), T.StructType([*fields, *(T.StructField(k, T.LongType()) for k in COUNTS)]))
+    counts = T.StructType([T.StructField(k, T.LongType()) for k in COUNTS])
+    return map_arrow(df, _measure(text, c.window, keep_text, into), T.StructType([*fields, T.StructField(into, counts)])), into
+
+
+def measure(df: DataFrame, c: Config = Config(), text: str = "text") -> DataFrame:
+    """The counts beside the other columns; the text itself is left out."""
+    found, into = _measured(df.drop(*COUNTS), c, text)
+    return found.select("*", f"{into}.*").drop(into)
 
 
 def _group(*columns: str) -> list[Column]:
-    return [F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("-")).alias(f"_{i}") for i, x in enumerate(columns)]
+    return [F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("-")) for x in columns]
 
 
-def _share(r: Rule) -> Column:
-    return F.coalesce(F.try_divide(F.col(r.top).cast("double"), F.col(r.bottom).cast("double")), F.lit(0.0))
+def _share(r: Rule, into: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(f"{into}.{r.top}").cast("double"), F.col(f"{into}.{r.bottom}").cast("double")), F.lit(0.0))
 
 
-def sketches(measured: DataFrame, c: Config = Config(), lang: str = "lang", source: str = "source") -> DataFrame:
-    """Mergeable sketches: how many documents of each language and source have each rule's share in each bucket."""
+def sketches(measured: DataFrame, into: str, c: Config = Config(), lang: str = "lang", source: str = "source") -> DataFrame:
+    """Mergeable sketches: how many documents of each language and source have each rule's share in each bucket. ``into``: the column of counts."""
     gamma = math.log((1 + c.accuracy) / (1 - c.accuracy))
-    entries = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.when(_share(r) > 1e-6, F.ceil(F.log(_share(r)) / gamma).cast("int")).otherwise(-(1 << 30)).alias("bucket")) for r in RULES])
-    return measured.where(F.col("n_words") >= c.min_words).select(*_group(lang, source), F.explode(entries).alias("e")).groupBy("_0", "_1", "e.rule", "e.bucket").agg(F.count("*").alias("n"))
+    share = lambda r: F.when(_share(r, into) > 1e-6, F.ceil(F.log(_share(r, into)) / gamma).cast("int")).otherwise(-(1 << 30))
+    entries = F.array(*[F.struct(F.lit(r.name).alias("rule"), share(r).alias("bucket")) for r in RULES])
+    a, b = _group(lang, source)
+    rows = measured.where(F.col(f"{into}.n_words") >= c.min_words).select(a.alias("lang_key"), b.alias("source_key"), F.explode(entries).alias("e"))
+    return rows.groupBy("lang_key", "source_key", "e.rule", "e.bucket").agg(F.count("*").alias("n"))
 
 
 def limits(sketch: DataFrame, c: Config = Config()) -> DataFrame:
-    """A limit of each rule for each language and source."""
-    from pyspark.sql import Window
+    """A limit of each rule for each language and source, as ``limit``, a struct; null where no quantiles differ."""
+    gamma = (1 + c.accuracy) / (1 - c.accuracy)
+    value = lambda b: F.when(b > -(1 << 29), F.pow(F.lit(gamma), b) * 2 / (1 + gamma)).otherwise(0.0)
 
-    def level(keys: list[str], suffix: str) -> DataFrame:
+    def level(keys: list[str], name: str, least: int) -> DataFrame:
         merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-        by = Window.partitionBy(*keys, "rule")
+        by = Window.partitionBy(*keys, "rule")  # the buckets of one rule: a few thousand at most, whatever the number of documents
         ranked = merged.select("*", F.sum("n").over(by).alias("all"), F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bucket")))
-        gamma = (1 + c.accuracy) / (1 - c.accuracy)
-        value = lambda b: F.when(b > -(1 << 29), F.pow(F.lit(gamma), b) * 2 / (1 + gamma)).otherwise(0.0)
-        q = ranked.groupBy(*keys, "rule").agg(at(0.25).alias("lo"), at(0.75).alias("hi"), F.max("all").alias("all"))
-        limit = value(F.col("hi")) + c.spread * (value(F.col("hi")) - value(F.col("lo")))
-        return q.where(F.col("all") >= (c.min_group if keys != [] and suffix != "any" else 0)).select(*keys, "rule", limit.alias(suffix))
-
-    every = sketch.select("_0", "_1", "rule").distinct()
-    own, by_lang, all_of = level(["_0", "_1"], "own"), level(["_0"], "lang"), level([], "any")
-    joined = every.join(own, ["_0", "_1", "rule"], "left").join(by_lang, ["_0", "rule"], "left").join(all_of, "rule", "left")
-    floor = F.element_at(F.create_map(*[x for r in RULES for x in (F.lit(r.name), F.lit(r.least))]), F.col("rule"))
-    return joined.groupBy("_0", "_1").agg(*[F.max(F.when(F.col("rule") == r.name, F.greatest(F.coalesce("own", "lang", "any"), floor))).alias(f"_limit_{r.name}") for r in RULES])
-
-
-def judge(measured: DataFrame, limit: DataFrame, c: Config = Config(), lang: str = "lang", source: str = "source") -> DataFrame:
-    """Adds ``base_failed``, ``reasons`` (rules whose limit is passed, comma-joined) and ``kept``."""
-    failed = (F.col("n_words") < c.min_words) | (100 * F.col("n_repeat_words") > c.max_repeat_percent * F.col("n_words"))
-    keyed = measured.withColumns({f"_{i}": k for i, k in enumerate(_group(lang, source))})
-    met = keyed.join(limit, ["_0", "_1"], "left")
-    over = F.array_compact(F.array(*[F.when(_share(r) > F.col(f"_limit_{r.name}"), r.name) for r in RULES]))
-    return met.withColumns({"base_failed": failed, "reasons": F.array_join(over, ",")}).withColumn("kept", ~F.col("base_failed") & (F.col("reasons") == "")).drop("_0", "_1", *(f"_limit_{r.name}" for r in RULES))
-
-
-def score(df: DataFrame, c: Config = Config(), **columns: str) -> DataFrame:
-    """Every document's counts and verdict, without its text."""
+        at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), F.col("bucket")))
+        q = ranked.groupBy(*keys, "rule").agg(F.max("all").alias("all"), *[at(p).alias(f"q{p}") for pair in PAIRS for p in pair])
+        far = lambda lo, hi: F.when(hi > lo, value(hi) + c.spread * (value(hi) - value(lo)))
+        return q.where(F.col("all") >= least).select(*keys, "rule", F.coalesce(*[far(F.col(f"q{lo}"), F.col(f"q{hi}")) for lo, hi in PAIRS]).alias(name))
+
+    keys = ["lang_key", "source_key"]
+    every = sketch.select(*keys, "rule").distinct()
+    own, by_lang, of_all = level(keys, "own", c.min_group), level(keys[:1], "by_lang", c.min_group), level([], "of_all", 0)
+    joined = every.join(own, [*keys, "rule"], "left").join(by_lang, ["lang_key", "rule"], "left").join(of_all, "rule", "left")
+    wide = joined.groupBy(*keys).agg(*[F.max(F.when(F.col("rule") == r.name, F.coalesce("own", "by_lang", "of_all"))).alias(r.name) for r in RULES])
+    return wide.select(*keys, F.struct(*[r.name for r in RULES]).alias("limit"))
+
+
+def judge(measured: DataFrame, into: str, limit: DataFrame, c: Config = Config(), lang: str = "lang", source: str = "source") -> tuple[DataFrame, Column]:
+    """The rows with their verdict: a struct of ``base_failed``, ``reasons`` (rules whose limit is passed, comma-joined) and ``kept``."""
+    a, b, own = unused(measured, "lang_key", "source_key", "limit")
+    keyed = measured.withColumns(dict(zip((a, b), _group(lang, source), strict=True)))
+    met = keyed.join(limit.select(F.col("lang_key").alias(a), F.col("source_key").alias(b), F.col("limit").alias(own)), [a, b], "left")
+    n = F.col(f"{into}.n_words")
+    failed = (n < c.min_words) | (100 * F.col(f"{into}.n_repeat_words") > c.max_repeat_percent * n)
+    over = F.array_join(F.array_compact(F.array(*[F.when(_share(r, into) > F.col(f"{own}.{r.name}"), r.name) for r in RULES])), ",")
+    return met, F.struct(failed.alias("base_failed"), over.alias("reasons"), (~failed & (over == "")).alias("kept"))
+
+
+def score(df: DataFrame, c: Config = Config(), text: str = "text", **columns: str) -> DataFrame:
+    """Every document's counts and verdict beside its other columns, without its text."""
     scratch = Scratch(df.sparkSession, "quality")
-    measured = scratch.keep(measure(df, c))
-    return judge(measured, scratch.keep(limits(scratch.keep(sketches(measured, c, **columns)), c)), c, **columns)
+    measured, into = _measured(df.drop(*COUNTS, *VERDICT), c, text)
+    measured = scratch.keep(measured)
+    rows, verdict = judge(measured, into, _limits(scratch, measured, into, c, **columns), c, **columns)
+    return rows.select(*[x for x in measured.columns if x != into], f"{into}.*", *[verdict[x].alias(x) for x in VERDICT])
 
 
-def keep_good(df: DataFrame, c: Config = Config(), **columns: str) -> DataFrame:
+def keep_good(df: DataFrame, c: Config = Config(), text: str = "text", **columns: str) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     scratch = Scratch(df.sparkSession, "quality")
-    limit = scratch.keep(limits(scratch.keep(sketches(measure(df, c), c, **columns)), c))
-    return judge(measure(df, c, keep_text=True), limit, c, **columns).where("kept").select(*df.columns)
+    limit = _limits(scratch, *_measured(df, c, text), c, **columns)
+    rows, verdict = judge(*_measured(df, c, text, keep_text=True), limit, c, **columns)
+    return rows.where(verdict["kept"]).select(*df.columns)
+
+
+def _limits(scratch: Scratch, measured: DataFrame, into: str, c: Config, **columns: str) -> DataFrame:
+    sketch = scratch.keep(sketches(measured, into, c, **columns))
+    limit = scratch.keep(limits(sketch, c))
+    scratch.drop(sketch)
+    return limit

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, map_arrow
 
 ARCHIVE_BYTES = 64 << 20
 #: Fixed values of the format.
@@ -177,11 +177,11 @@ def write(df: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str
     # a common payload has many rows but one row here; written, so that the join below deals out both sides anew and can split it
     again = scratch.keep(pages.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha1", "last"))
     marked = pages.join(again, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
-    return scratch.keep(marked.mapInArrow(_write(f"{scratch.path}/archives", limit), "path string, records bigint, bytes bigint"))
+    return scratch.keep(map_arrow(marked, _write(f"{scratch.path}/archives", limit), "path string, records bigint, bytes bigint"))
 
 
 def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """Every record of the archives in ``path``, one task for each archive; with ``payloads`` also what responses hold."""
     n = max(1, archives.count())
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
-    return archives.select("path").repartition(n).mapInArrow(_read(payloads), schema)
+    return map_arrow(archives.select("path").repartition(n), _read(payloads), schema)
