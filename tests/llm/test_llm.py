@@ -1,16 +1,19 @@
 """Operators for training text against brute force, exact round trips and held-out accuracy, on small and awkward inputs."""
 
 import collections
+import datetime
 import hashlib
 import io
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -247,6 +250,88 @@ def test_long_secrets(spark):
         assert sum(a == b for a, b in zip(new, old, strict=True)) < len(old) / 2 and not any(old[i : i + 20] in new for i in range(len(old) - 20))
 
 
+def test_secret_names_and_ipv6(spark):
+    rows = [
+        ("Password: Hunter22secret", "Hunter22secret", 1), ("API_KEY=abcdefgh1234 x", "abcdefgh1234", 1), ("my Client-Secret = 'AbCd0123efgh'", "AbCd0123efgh", 1), ("TOKEN=0A1b2C3d4E", "0A1b2C3d4E", 1),
+        ("at 2001:db8:85a3::8a2e:370:7334 now", "85a3::8a2e", 1), ("FE80:0:0:0:202:B3FF:FE1E:8329.", "B3FF:FE1E", 1), ("to ::ffff:1", "ffff:1", 1), ("net 2001:db8::", "2001:db8", 1),
+        ("std::vector a::b dead::beef 12:30:45 00:1A:2B:3C:4D:5E 1:2:3:4:5:6:7", "", 0), ("a secret: nothing", "", 0), ("1:2:3:4:5:6:7:8:9", "", 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        t, old, n = rows[r.doc_id]
+        assert r.n_pii == n and (not n or old not in r.text) and len(r.text) == len(t) and (n or r.text == t)
+        assert [c.isalnum() for c in r.text] == [c.isalnum() for c in t]
+
+
+def test_key_is_in_no_plan(spark, tmp_path):
+    df = spark.createDataFrame([(1, "mail a@b.com, 42.144.35.254")], "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("key", "spots", "found", "_found", "_spots")})
+    out = pii.pseudonymise(df, "very hidden key")
+    shown = out._jdf.queryExecution().toString() + out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    assert "very hidden key" not in shown and "hidden" not in shown
+    row = out.first()
+    assert row.n_pii == 2 and (row.key, row.spots, row.found, row._found, row._spots) == ("mine",) * 5
+    (tmp_path / "key").write_text("from a file\n")
+    assert pii.session_key(spark) != pii.session_key(spark)
+    spark.conf.set(pii.KEY_FILE, f"file://{tmp_path}/key")
+    assert pii.session_key(spark) == "from a file"
+    spark.conf.unset(pii.KEY_FILE)
+
+
+def feistel(symbols, key, tweak):
+    """Numbers with a radix each, moved round by round by a hash of every other one."""
+    for i in range(8):
+        digest = hashlib.sha256("|".join([key, tweak, str(i), ",".join(str(s) for j, (s, _) in enumerate(symbols) if j % 2 != i % 2)]).encode()).hexdigest()
+        move = lambda j: xxhash.xxh64(struct.pack("<i", j), seed=xxhash.xxh64(digest.encode(), seed=42).intdigest()).intdigest()
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        symbols = [((s + signed(move(j)) % r) % r, r) if j % 2 == i % 2 else (s, r) for j, (s, r) in enumerate(symbols)]
+    return [s for s, _ in symbols]
+
+
+def by_character(value, key, kind):
+    sets = [next((a for a in (pii.DIGITS, pii.LOWER, pii.UPPER) if c in a), "") for c in value]
+    new = feistel([(max(a.find(c), 0), max(len(a), 1)) for c, a in zip(value, sets, strict=True)], key, f"{kind}|" + ",".join(sets))
+    return "".join(a[n] if a else c for c, a, n in zip(value, sets, new, strict=True))
+
+
+def test_pseudonyms_against_feistel(spark):
+    """Every pseudonym, computed again in Python."""
+    rng, key, rows, want = random.Random(14), "a key", [], []
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    first = datetime.date(1900, 1, 1)
+
+    def check(body):
+        return next(str(c) for c in range(10) if luhn(body + str(c)))
+
+    def moved(day):
+        n = (day - first).days
+        while True:
+            a, b = feistel([(n // 270, 271), (n % 270, 270)], key, "date")
+            n = a * 270 + b
+            if n < 73049:
+                return first + datetime.timedelta(n)
+
+    for _ in range(40):
+        octets = [rng.randrange(256) for _ in range(4)]
+        rows.append(f"from {'.'.join(map(str, octets))} on")
+        want.append(f"from {'.'.join(map(str, feistel([(o, 256) for o in octets], key, 'ip')))} on")
+        body = "4" + digits(14)
+        new = by_character(body, key, "card")
+        rows.append(f"pay {body + check(body)} now")
+        want.append(f"pay {new + check(new)} now")
+        ssn = f"{rng.randrange(100, 600)}-{rng.randrange(10, 90)}-{rng.randrange(1000, 9999)}"
+        rows.append(f"no {ssn}")
+        want.append(f"no {by_character(ssn, key, 'ssn')}")
+        name = f"{''.join(rng.choice('abcXYZ') for _ in range(5))}.{digits(2)}@host{digits(1)}"
+        rows.append(f"<{name}.org>")
+        want.append(f"<{by_character(name, key, 'email')}.org>")
+        day = first + datetime.timedelta(rng.randrange(73049))
+        rows.append(f"on {day.isoformat()}.")
+        want.append(f"on {moved(day).isoformat()}.")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, key).collect()}
+    assert [got[i].text for i in range(len(rows))] == want and all(r.n_pii == 1 for r in got.values())
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (9, "http://b\nc", "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70000), (6, "u", "own")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("records", F.lit(1))
@@ -359,6 +444,22 @@ def test_shards(spark, corpus):
     assert sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shard_plan_against_all_groups(spark):
+    """The capacity that refined ranges give is the one that all groups give, whatever the first ranges and the limit of a round."""
+    rng = random.Random(7)
+    for sizes in ([rng.randrange(1, 50) for _ in range(700)], [1] * 300 + [4000], [rng.randrange(1, 9) ** 4 for _ in range(300)], [5, 5, 5]):
+        rows = [(rng.randrange(-(1 << 63), 1 << 63), n) for n in sizes]
+        ordered = [n for _, n in sorted(rows)]
+        for shards, bits, most in ((8, 3, 64), (3, 1, 4), (8, 16, 1 << 18)):
+            capacity, starts = sharding.plan(spark.createDataFrame(rows, "hash long, size long"), shards, bits, most)
+            assert capacity == sharding.smallest_capacity(np.array(ordered), shards)
+            by = collections.Counter()
+            for h, n in rows:
+                by[sum(h >= s for s in starts)] += n
+            assert max(by.values()) <= capacity and len(starts) < shards
+    assert sharding.plan(spark.createDataFrame([], "hash long, size long"), 8) == (0, [])
+
+
 def test_smallest_capacity():
     rng = np.random.default_rng(0)
 

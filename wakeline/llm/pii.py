@@ -6,26 +6,36 @@ is text again. A candidate that passes the checks of its kind (Luhn digit, octet
 calendar, IBAN remainder, number plan) is permuted by a keyed Feistel network within its format: digits stay
 digits, letters stay letters of their case, check digits are set anew, dates stay dates. The permutation
 depends on the key, the kind and the format only, so equal values stay equal across documents and different
-ones of one format stay different.
+ones of one format stay different. The key reaches the tasks as the value of a subquery, so no plan or event log shows it.
+Dates are replaced wherever they are written out, as nothing tells a birthday from another day.
 
 Cases: a null text stays null and an empty one empty, with no finds; a candidate that fails its checks stays
-as it is, and a valid one that begins within it is found; secrets may have any length; other columns are carried along, ``n_pii`` and ``pii_kinds`` are replaced.
+as it is, and a valid one that begins within it is found; secrets may have any length; other columns, whatever their names, are
+carried along, ``n_pii`` and ``pii_kinds`` are replaced; repeated rows get equal results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIGITS, LOWER, UPPER, HEX, CODE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+from .store import unused
+
+#: Setting of the session with the path of a text file whose first line is the key.
+KEY_FILE = "spark.wakeline.pseudonyms.keyFile"
+
+DIGITS, LOWER, UPPER, HEX, UPPER_HEX, CODE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 LOW_DIGITS, HIGH_DIGITS = "01", "23456789"
 
 #: Kinds and what they look like, in order of preference.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key|apikey) ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{7,}[A-Za-z0-9_/+-](?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|(?:client|app)[_-]?secret|secret(?:[_-]?key)?|(?:auth|access|bearer)[_-]?token|token|(?:api|access|private)[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{7,}[A-Za-z0-9_/+-](?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:|:(?::[0-9A-Fa-f]{1,4}){2,7})(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -70,12 +80,12 @@ def _bind(value: Column, use: callable) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _permuted(symbols: Column, key: str, tweak: Column) -> Column:
+def _permuted(symbols: Column, key: Column, tweak: Column) -> Column:
     """Alternating Feistel network over numbers with a radix each: every other number is moved by a hash of the rest."""
 
     def one_round(acc: Column, i: Column) -> Column:
         other = F.filter(acc, lambda x, j: j % 2 != i % 2)
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.array_join(F.transform(other, lambda x: x["s"].cast("string")), ",")), 256)
+        digest = F.sha2(F.concat_ws("|", key, tweak, i.cast("string"), F.array_join(F.transform(other, lambda x: x["s"].cast("string")), ",")), 256)
 
         def moved(d: Column) -> Column:
             step = lambda x, j: F.struct(F.pmod(x["s"] + F.pmod(F.xxhash64(d, j), x["r"]), x["r"]).alias("s"), x["r"].alias("r"))
@@ -100,13 +110,17 @@ def _alphabet(c: Column, kind: str, before: Column) -> Column:
         return F.when(c.rlike("[A-Z0-9]"), CODE).otherwise("")
     if kind == "hex":
         return F.when(c.rlike("[0-9a-f]"), HEX).otherwise("")
+    if kind == "HEX":
+        return F.when(c.rlike("[0-9A-F]"), UPPER_HEX).otherwise("")
     digits = F.lit(DIGITS)
+    if kind == "ipv6":
+        return F.when(c.rlike("[0-9]"), DIGITS).when(c.rlike("[a-f]"), LOWER[:6]).when(c.rlike("[A-F]"), UPPER[:6]).otherwise("")
     if kind == "phone":  # codes that begin with 2 to 9 keep doing so
         digits = F.when(before.rlike("[0-9]"), DIGITS).when(c.rlike("[2-9]"), HIGH_DIGITS).otherwise(LOW_DIGITS)
     return F.when(c.rlike("[0-9]"), digits).when(c.rlike("[a-z]"), LOWER).when(c.rlike("[A-Z]"), UPPER).otherwise("")
 
 
-def _by_character(value: Column, key: str, kind: str) -> Column:
+def _by_character(value: Column, key: Column, kind: str) -> Column:
     """Each character is permuted within its alphabet."""
 
     def run(chars: Column) -> Column:
@@ -146,7 +160,7 @@ def _card_valid(d: Column) -> Column:
     return (F.pmod(_luhn(body) + F.substr(d, F.length(d), F.lit(1)).cast("int"), F.lit(10)) == 0) & ~d.rlike(r"^(.)\1*$")
 
 
-def _card(v: Column, key: str) -> Column:
+def _card(v: Column, key: Column) -> Column:
     def run(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
         valid = _card_valid(d)
@@ -160,7 +174,7 @@ def _iban_valid(x: Column) -> Column:
     return _mod97(F.concat(F.substr(x, F.lit(5), F.length(x)), F.substr(x, F.lit(1), F.lit(4)))) == 1
 
 
-def _iban(v: Column, key: str) -> Column:
+def _iban(v: Column, key: Column) -> Column:
     def run(x: Column) -> Column:
         body, country = F.substr(x, F.lit(5), F.length(x)), F.substr(x, F.lit(1), F.lit(2))
         valid = _iban_valid(x)
@@ -170,13 +184,20 @@ def _iban(v: Column, key: str) -> Column:
     return _bind(F.replace(v, F.lit(" "), F.lit("")), run)
 
 
-def _ip(v: Column, key: str) -> Column:
+def _ip(v: Column, key: Column) -> Column:
     octets = F.transform(F.split(v, r"\."), lambda x: x.cast("int"))
     new = _permuted(F.transform(octets, lambda x: _number(x, 256)), key, F.lit("ip"))
     return F.when(~F.exists(octets, lambda x: x > 255), F.array_join(F.transform(new, lambda x: x["s"].cast("string")), "."))
 
 
-def _date(v: Column, key: str) -> Column:
+def _ipv6(v: Column, key: Column) -> Column:
+    """Eight groups, or fewer with one gap. Without a digit it is more likely a name. Letters of one case stay of it; of mixed cases each stays what it is."""
+    groups = F.size(F.filter(F.split(v, ":"), lambda g: g != ""))
+    ok = v.rlike("[0-9]") & F.when(v.contains("::"), groups <= 7).otherwise(groups == 8)
+    return F.when(ok & ~v.rlike("[A-F]"), _by_character(v, key, "hex")).when(ok & ~v.rlike("[a-f]"), _by_character(v, key, "HEX")).when(ok, _by_character(v, key, "ipv6"))
+
+
+def _date(v: Column, key: Column) -> Column:
     """ISO order where the year comes first; otherwise day first, or month first where only that is a date."""
     sep = F.regexp_extract(v, "[-/.]", 0)
     plain = F.regexp_replace(v, "[/.]", "-")
@@ -201,36 +222,36 @@ def _date(v: Column, key: str) -> Column:
     return out
 
 
-def _phone(v: Column, key: str) -> Column:
+def _phone(v: Column, key: Column) -> Column:
     """The country code after a plus stays."""
     code = F.regexp_extract(v, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]{1,2}", 0)
     n = F.length(F.regexp_replace(v, "[^0-9]", ""))
     return F.when((n >= 7) & (n <= 15), F.concat(code, _by_character(F.substr(v, F.length(code) + 1, F.length(v)), key, "phone")))
 
 
-def _ssn(v: Column, key: str) -> Column:
+def _ssn(v: Column, key: Column) -> Column:
     """Area and group numbers that are never given out are no numbers."""
     return F.when(~v.rlike("^(?:000|666|9)|^...-00|0000$"), _by_character(v, key, "ssn"))
 
 
-def _email(v: Column, key: str) -> Column:
+def _email(v: Column, key: Column) -> Column:
     """The last label of the host stays."""
     top = F.regexp_extract(v, r"\.[A-Za-z]+$", 0)
     return F.concat(_by_character(F.substr(v, F.lit(1), F.length(v) - F.length(top)), key, "email"), top)
 
 
-def _secret(v: Column, key: str) -> Column:
+def _secret(v: Column, key: Column) -> Column:
     """The name before the sign stays."""
-    name = F.regexp_extract(v, r"^[a-z_]+ ?[=:] ?[\"']?", 0)
+    name = F.regexp_extract(v, r"^[A-Za-z_-]+ ?[=:] ?[\"']?", 0)
     value = F.substr(v, F.length(name) + 1, F.length(v))
     return F.concat(name, F.when(value.rlike("^[0-9a-f]+$"), _by_character(value, key, "hex")).otherwise(_by_character(value, key, "secret")))
 
 
-def _cloud_key(v: Column, key: str) -> Column:
+def _cloud_key(v: Column, key: Column) -> Column:
     return F.concat(F.substr(v, F.lit(1), F.lit(4)), _by_character(F.substr(v, F.lit(5), F.lit(16)), key, "code"))
 
 
-_RULES = {"email": _email, "cloud_key": _cloud_key, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_RULES = {"email": _email, "cloud_key": _cloud_key, "secret": _secret, "iban": _iban, "ipv6": _ipv6, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def _reading(value: Column, kind: str) -> Column:
@@ -251,7 +272,7 @@ def _reading(value: Column, kind: str) -> Column:
     return F.substr(value, F.lit(1), best["n"])
 
 
-def pseudonym(value: Column, key: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
+def pseudonym(value: Column, key: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
     """A struct of kind, pseudonym and how many characters of a candidate it replaces; null where the candidate fails the checks of every kind.
 
     A value that looks like several kinds is of the first whose checks it passes.
@@ -286,22 +307,36 @@ def _walk(found: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(found) / _RUN).cast("int")), start, run, lambda acc: F.flatten(acc["out"]))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key in the file that the session names; where it names none, a new random one: its pseudonyms are linked within one run and nobody can compute them again."""
+    path = spark.conf.get(KEY_FILE, None)
+    if not path:
+        return secrets.token_hex(32)
+    first = spark.read.text(path).first()
+    if first is None or not first[0].strip():
+        raise ValueError(f"{KEY_FILE} names a file without a key")
+    return first[0].strip()
+
+
 def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """Replaces personal data and secrets in ``text``; adds ``n_pii`` (how many) and ``pii_kinds`` (sorted, distinct)."""
+    df = df.drop(*[c for c in ("n_pii", "pii_kinds") if c != text])
+    secret, spotted, found = unused(df, "key", "spots", "found")
     pattern = _numbered({k: PATTERNS[k] for k in kinds}, 1)  # in group 1
     value = F.col(text)
-    some = F.coalesce(value.rlike(r"[0-9@]|(?:password|passwd|pwd|secret|token|key) ?[=:]"), F.lit(False))
+    some = F.coalesce(value.rlike(r"[0-9@]|(?i:password|passwd|passphrase|pwd|secret|token|key) ?[=:]"), F.lit(False))
     led = F.concat(F.lit("\n"), value)  # so that no candidate begins at the first character, where nothing is split off
     spots = F.when(some, F.regexp_extract_all(led, F.lit(f"(?=({pattern}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_spots", spots)
+    df = df.withColumns({spotted: spots, secret: df.sparkSession.createDataFrame([(key,)], "key string").scalar()})
     gone = F.lit(None).cast("struct<kind:string,new:string,taken:int>")
-    pieces = F.transform(F.split(led, f"(?=({pattern}))", -1), lambda p, i: F.struct(p.alias("piece"), F.when(i > 0, pseudonym(F.get("_spots", i - 1), key, kinds)).otherwise(gone).alias("p")))
-    df = df.withColumn("_found", F.when(F.size("_spots") > 0, pieces))
-    df = df.withColumn("_found", F.when(F.col("_found").isNotNull(), _walk(F.col("_found"))))
-    hits = F.coalesce(F.filter("_found", lambda f: f["kind"].isNotNull()), F.array().cast("array<struct<text:string,kind:string>>"))
+    made = lambda i: pseudonym(F.get(F.col(spotted), i - 1), F.col(secret), kinds)
+    pieces = F.transform(F.split(led, f"(?=({pattern}))", -1), lambda p, i: F.struct(p.alias("piece"), F.when(i > 0, made(i)).otherwise(gone).alias("p")))
+    df = df.withColumn(found, F.when(F.size(spotted) > 0, pieces))
+    df = df.withColumn(found, F.when(F.col(found).isNotNull(), _walk(F.col(found))))
+    hits = F.coalesce(F.filter(found, lambda f: f["kind"].isNotNull()), F.array().cast("array<struct<text:string,kind:string>>"))
     return (
         df.withColumn("n_pii", F.size(hits).cast("bigint"))
         .withColumn("pii_kinds", F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda f: f["kind"]))), ","))
-        .withColumn(text, F.when(F.col("_found").isNotNull(), F.substr(F.array_join(F.transform("_found", lambda f: f["text"]), ""), F.lit(2))).otherwise(value))
-        .drop("_found", "_spots")
+        .withColumn(text, F.when(F.col(found).isNotNull(), F.substr(F.array_join(F.transform(found, lambda f: f["text"]), ""), F.lit(2))).otherwise(value))
+        .drop(found, spotted, secret)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, jaccard, langid, licenses, packing, pii, quality, sharding, warc
 
-#: Key of the pseudonyms where no secret is configured.
+#: Key of the registered query alone, so that its results can be compared; the pipeline takes the session's key or a random one.
 DEMO_KEY = "wakeline demonstration key"
 
 

@@ -2,11 +2,12 @@
 
 Groups are ordered by the hash of their text. The smallest capacity into which a given number of contiguous
 shards fit is found by bisection; a capacity is tried by filling shards one after the other. Cuts can only lie in
-a few places of the order, so the driver holds sizes of hash ranges (a fixed number) and, of those ranges
-where a cut can lie, the groups. Where the capacity leaves room, cuts are set for even sizes.
+a few places of the order, so the driver begins with the sizes of hash ranges (a fixed number) and, again and again, has
+those ranges split in which a cut can lie, until each of them is one group. What it holds is bounded at every step.
+Where the capacity leaves room, cuts are set for even sizes.
 
 Cases: null and empty text are one group of size 1 a row; a group larger than an even share sets the capacity;
-repeated rows have slots of their own; an empty table gives an empty one; other columns are ignored.
+repeated rows have slots of their own; a null id stays null; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-RANGE_BITS = 16
+#: Bits of the first ranges; the most ranges that one round of splitting makes.
+RANGE_BITS, ROUND = 16, 1 << 18
 
 
 def fill(ends: np.ndarray, capacity: int, shards: int, start: int = 0) -> list[int] | None:
@@ -69,51 +71,71 @@ def even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
     return cuts
 
 
-def plan(groups: DataFrame, shards: int, range_bits: int = RANGE_BITS) -> tuple[int, list[int]]:
-    """Capacity, and the hash at which each shard but the first begins. ``groups``: hash and size."""
-    shift, half = 64 - range_bits, 1 << (range_bits - 1)
-    ranged = groups.withColumn("range", F.shiftright("hash", shift).cast("int"))
-    coarse = ranged.groupBy("range").agg(F.sum("size").alias("size"), F.max("size").alias("largest")).toPandas().sort_values("range")
-    if coarse.empty:
-        return 0, []
-    sizes, ranges = coarse["size"].to_numpy(np.int64), coarse["range"].to_numpy(np.int64)
-    ends = np.cumsum(sizes)
-    high = smallest_capacity(sizes, shards)
-    low = max(-(-int(ends[-1]) // shards), int(coarse["largest"].max()))
-    inner, first, last = set(), 0, 0
-    for _ in range(shards):  # where the cuts of any capacity from low to high can lie
+def _fluid(ends: np.ndarray, single: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """How far the shards reach if ranges of several groups could be cut anywhere: no real cut with that capacity lies beyond."""
+    out, at = [], 0
+    for _ in range(shards):
+        stop = int(np.searchsorted(ends, at + capacity, "right"))
+        if stop < len(ends) and single[stop]:
+            at = max(at, int(ends[stop - 1]) if stop else 0)
+        else:
+            at = min(at + capacity, int(ends[-1]))
+        out.append(at)
+    return out
+
+
+def _open(ends: np.ndarray, single: np.ndarray, low: int, high: int, shards: int) -> np.ndarray:
+    """The ranges of several groups in which a cut can lie, for some capacity from ``low`` to ``high``."""
+    inside, first = np.zeros(len(ends), bool), 0
+    for last in _fluid(ends, single, high, shards):
         begins = int(np.searchsorted(ends, first + low, "right"))
         first = int(ends[begins - 1]) if begins else 0
-        last = min(int(ends[-1]), last + high)
-        inner.update(range(begins, min(len(ends), int(np.searchsorted(ends, last)) + 1)))
-    fine = ranged.where(F.col("range").isin([int(ranges[i]) for i in sorted(inner)])).select("hash", "size").toPandas()
-    outer = np.ones(len(ranges), bool)
-    outer[sorted(inner)] = False
-    at = np.concatenate([ranges[outer] << shift, fine["hash"].to_numpy(np.int64)])
-    own = np.concatenate([sizes[outer], fine["size"].to_numpy(np.int64)])
-    order = np.argsort(at)
-    at, own = at[order], own[order]
-    # a range that stays whole is no group: it must not set the capacity
-    ends = np.cumsum(own)
-    while low < high:
-        mid = (low + high) // 2
-        if fill(ends, mid, shards) is None:
-            low = mid + 1
-        else:
-            high = mid
-    return low, [int(at[c]) for c in even_cuts(ends, low, shards) if c < len(at)]
+        inside[begins : int(np.searchsorted(ends, last)) + 1] = True
+    return np.flatnonzero(inside & ~single)
+
+
+def plan(groups: DataFrame, shards: int, range_bits: int = RANGE_BITS, most: int = ROUND) -> tuple[int, list[int]]:
+    """Capacity, and the hash at which each shard but the first begins. ``groups``: hash (each once) and size."""
+
+    def ranges(rows: DataFrame, bits: int) -> np.ndarray:
+        """Begin, bits, size and groups of each range of hashes that agree in their first ``bits``, and its largest group."""
+        found = rows.groupBy(F.shiftright("hash", 64 - bits).alias("r")).agg(F.sum("size"), F.count("*"), F.max("size")).toPandas().to_numpy(np.int64)
+        return np.column_stack([found[:, 0] << (64 - bits), np.full(len(found), bits), found[:, 1:]])
+
+    table = ranges(groups, range_bits)
+    if not len(table):
+        return 0, []
+    while True:
+        table = table[np.argsort(table[:, 0])]
+        ends, single = np.cumsum(table[:, 2]), table[:, 3] == 1
+        high = smallest_capacity(table[:, 2], shards)
+        low, top = max(-(-int(ends[-1]) // shards), int(table[:, 4].max())), high
+        while low < top:  # what is too small even if all ranges could be cut anywhere
+            mid = (low + top) // 2
+            low, top = (low, mid) if _fluid(ends, single, mid, shards)[-1] == ends[-1] else (mid + 1, top)
+        split = _open(ends, single, low, high, shards) if low < high else np.zeros(0, np.int64)
+        if not len(split):
+            break
+        more = max(1, (most // len(split)).bit_length() - 1)
+        new = []
+        for bits in np.unique(table[split, 1]).tolist():
+            begins = [(int(b) >> (64 - bits),) for b in table[split][table[split, 1] == bits, 0]]
+            wanted = groups.sparkSession.createDataFrame(begins, "r bigint")
+            new.append(ranges(groups.withColumn("r", F.shiftright("hash", 64 - bits)).join(F.broadcast(wanted), "r", "left_semi"), min(64, bits + more)))
+        table = np.concatenate([np.delete(table, split, axis=0), *new])
+    return high, [int(table[c, 0]) for c in even_cuts(ends, high, shards) if c < len(table)]
 
 
 def shard(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns, per row: ``doc_id``, ``size`` (bytes of the text plus 1), ``text_crc32``, ``law``, ``shard``, ``slot`` (place in its shard), ``grown_shard`` (null under this law)."""
     scratch = Scratch(df.sparkSession, "sharding")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = scratch.keep(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("hash")))
+    rows = scratch.keep(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("hash"), F.monotonically_increasing_id().alias("tie")))
     groups = scratch.keep(rows.groupBy("hash").agg(F.sum("size").alias("size")))
     _, starts = plan(groups, shards)
     number = sum([(F.col("hash") >= s).cast("int") for s in starts], F.lit(0))
     # within a partition the rows lie in order, so a row's place in the whole order is its place there plus what lies before
-    laid = scratch.keep(rows.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id").select("*", number.alias("shard"), F.monotonically_increasing_id().alias("_at")))
+    laid = scratch.keep(rows.repartitionByRange("hash", "doc_id", "tie").sortWithinPartitions("hash", "doc_id", "tie").select("*", number.alias("shard"), F.monotonically_increasing_id().alias("_at")))
     placed = laid.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     parts = placed.groupBy("_part", "shard").agg(F.count("*").alias("n"), F.min("_row").alias("least")).collect()  # at most a row for each partition and cut
     before, at = {}, {}
