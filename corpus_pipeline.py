@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import decontam, jaccard, packing, pii, quality
-from wakeline.llm.queries import DEMO_KEY, tokenizer_path
-from wakeline.llm.store import Scratch
+from wakeline.llm.queries import tokenizer_path
+from wakeline.llm.store import Scratch, unused
 
 
 def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest id."""
     rows, row = docs, "doc_id"
     if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():  # ids do not tell rows apart: numbers in the order of ids do
-        row = "_row"
+        (row,) = unused(docs, "row")
         rows = Scratch(spark, "rows").keep(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn(row, F.monotonically_increasing_id()))
     linked = jaccard.link(rows, k=5, percent=80, doc_id=row)
     first = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
@@ -39,8 +39,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets get pseudonyms; n_chars follows the text."""
-    return pii.pseudonymise(docs, DEMO_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Personal data and secrets get pseudonyms, under the session's key or one of this run alone; n_chars follows the text."""
+    return pii.pseudonymise(docs, pii.session_key(spark)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        if hasattr(before, "_scratch_path"):
+            scratch.drop(before)
     return docs
