@@ -75,9 +75,10 @@ def test_pairs_near_the_poles(spark):
 
 
 def test_encounter(spark):
-    f = _features(spark, [("111", "2025-05-01 12:00:59", -122.4201, 37.8, 20.0, 90.0), ("222", "2025-05-01 12:01:00", -122.3799, 37.8, 20.0, 270.0)])
+    """Two vessels two miles apart that head for each other meet in three minutes; one state is older than the other."""
+    f = _features(spark, [("301", "2025-03-07 06:29:48", -122.5, 37.7, 18.0, 90.0), ("302", "2025-03-07 06:30:00", -122.4631, 37.7, 18.0, 270.0)])
     r = encounters.opportunities(encounters.pairs_within(encounters.causal_grid(f), 2.0), BAY).collect()
-    assert len(r) == 1 and r[0].is_candidate == 1 and (r[0].age_s_a, r[0].age_s_b) == (1.0, 0.0)
+    assert len(r) == 1 and r[0].is_candidate == 1 and (r[0].age_s_a, r[0].age_s_b) == (12.0, 0.0) and 2 < r[0].tcpa_min < 4 and r[0].dcpa_nm < 0.01
 
 
 def test_future_is_strict(spark):
@@ -125,8 +126,9 @@ def test_rankings(spark):
     assert (got["encounter_only", "encounter"], got["encounter_only", "behavior"]) == (2, 0) and (got["fused", "encounter"], got["fused", "behavior"]) == (1, 2)
     assert {r.method for r in ranking.pareto(ev).collect()} == {"encounter_only", "behavior_only", "fused"}
     outside = ranking.rank_evaluation(cells, spark.createDataFrame([("encounter", "a"), ("encounter", "far")], "kind string, cell_id string"), budgets=(1.0,))
-    assert {r.capture_rate for r in outside.collect()} == {0.5}
-    assert ranking.jaccard(set(), set()) == 1.0 and ranking.compression([("raw", 100), ("kept", 10)])[1] == ("kept", 10, 10.0, 10.0)
+    assert {(r.kind, r.targets, r.capture_rate) for r in outside.collect()} == {("encounter", 2, 0.5), ("behavior", 0, None)}
+    tenth = {(r.method_a, r.method_b): r.overlap for r in ranking.rank_overlap(cells).collect()}
+    assert len(tenth) == 15 and tenth["fused_w0.50", "fused_w0.75"] == 1.0 and tenth["density_only", "encounter_only"] == 0.0
 
 
 def test_geometry(spark):

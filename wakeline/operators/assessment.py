@@ -67,12 +67,9 @@ def cell_sizes(f: DataFrame, g: Grid, p: PatternGates, sizes: tuple[float, ...]
     return out
 
 
-def held_out_days(f: DataFrame, g: Grid, p: PatternGates, days: list[str], least: float = 0.35) -> DataFrame:
-    """Each day scored with the patterns of the other days; the day left out is a column, so all refits are one plan."""
-    own = f.where(F.col("date").isin(days))
-    every = F.broadcast(f.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, days))).alias("fold")))
-    known = raster.patterns(own.crossJoin(every).where("date <> fold"), g, p, "fold")
-    return _screened(own.withColumn("fold", F.col("date")), known, g, least, "fold").withColumnRenamed("fold", "test_date")
+def held_out_days(f: DataFrame, known: DataFrame, g: Grid, least: float = 0.35) -> DataFrame:
+    """Each day scored with the patterns of the other days. ``known``: patterns by ``fold``, the day left out; it is a column, so all refits are one plan."""
+    return _screened(f.withColumn("fold", F.col("date")), known, g, least, "fold").withColumnRenamed("fold", "test_date")
 
 
 def densest_bins(states: DataFrame, nm: float, n: int = 12) -> DataFrame:

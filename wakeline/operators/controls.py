@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,21 +58,24 @@ def match(found: DataFrame, m: Matching = Matching()) -> DataFrame:
     kind = ", ".join(f"{a}_{c} {t}" for a in ("candidate", "control") for c, t in [("id", "string"), ("g", "bigint"), *[(v, "double") for v in VALUES]])
 
     def greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("anchor_id"), right.sort_values("anchor_id").reset_index(drop=True)
-        free, out = pd.Series(True, index=right.index), []
+        left, right = left.sort_values("anchor_id"), right.sort_values(["g", "anchor_id"])
+        g, ids, free = right["g"].to_numpy(np.int64), right["anchor_id"].to_numpy(str), np.ones(len(right), bool)
+        distance, speed, closing, skew, exposure = (right[v].to_numpy(np.float64) for v in VALUES)
+        out = []
         for c in left.itertuples(index=False):
-            dt = (right["g"] - c.g).abs()
-            ds, dc = (right["relative_speed_kn"] - c.relative_speed_kn).abs(), (right["closing_speed_kn"] - c.closing_speed_kn).abs()
-            ok = free & (dt <= m.time_caliper_s) & (ds <= m.speed_caliper_kn) & (dc <= m.closing_caliper_kn)
-            if not ok.any():
+            near = slice(*np.searchsorted(g, [c.g - m.time_caliper_s, c.g + m.time_caliper_s + 1]))  # the time caliper as a window of the sorted controls
+            ds, dc = np.abs(speed[near] - c.relative_speed_kn), np.abs(closing[near] - c.closing_speed_kn)
+            ok = near.start + np.flatnonzero(free[near] & (ds <= m.speed_caliper_kn) & (dc <= m.closing_caliper_kn))
+            if not len(ok):
                 continue
-            most = right["local_exposure"].abs().clip(lower=max(1.0, abs(c.local_exposure)))
-            terms = pd.DataFrame({"t": dt / m.time_caliper_s, "d": (right["current_distance_nm"] - c.current_distance_nm).abs() / m.band_nm, "s": ds / m.speed_caliper_kn, "c": dc / m.closing_caliper_kn, "k": (right["state_skew_s"] - c.state_skew_s).abs() / m.skew_norm_s, "e": (right["local_exposure"] - c.local_exposure).abs() / most})
-            terms.insert(0, "all", terms.sum(axis=1))
-            pick = terms[ok].assign(id=right["anchor_id"]).sort_values(["all", "t", "d", "s", "c", "k", "e", "id"]).index[0]
+            most = np.maximum(np.abs(exposure[ok]), max(1.0, abs(c.local_exposure)))
+            terms = [
+                np.abs(g[ok] - c.g) / m.time_caliper_s, np.abs(distance[ok] - c.current_distance_nm) / m.band_nm, np.abs(speed[ok] - c.relative_speed_kn) / m.speed_caliper_kn,
+                np.abs(closing[ok] - c.closing_speed_kn) / m.closing_caliper_kn, np.abs(skew[ok] - c.state_skew_s) / m.skew_norm_s, np.abs(exposure[ok] - c.local_exposure) / most,
+            ]
+            pick = ok[np.lexsort([ids[ok], *reversed(terms), sum(terms)])[0]]
             free[pick] = False
-            k = right.loc[pick]
-            out.append((c.anchor_id, c.g, *[float(getattr(c, v)) for v in VALUES], k["anchor_id"], k["g"], *[float(k[v]) for v in VALUES]))
+            out.append((c.anchor_id, c.g, *[float(getattr(c, v)) for v in VALUES], ids[pick], int(g[pick]), *[float(x[pick]) for x in (distance, speed, closing, skew, exposure)]))
         return pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")])
 
     whole = found.where(" AND ".join(f"{v} IS NOT NULL" for v in VALUES)).select("anchor_type", *columns)
@@ -79,12 +83,46 @@ def match(found: DataFrame, m: Matching = Matching()) -> DataFrame:
     return side("candidate").cogroup(side("control")).applyInPandas(greedy, kind)
 
 
-def balance(pairs: DataFrame) -> DataFrame:
-    """Means and standardised mean difference of each variable after matching."""
-    rows = pairs.select(F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"candidate_{v}").alias("x"), F.col(f"control_{v}").alias("y")) for v in VALUES])).alias("p")).select("p.*")
-    pooled = F.sqrt((F.var_samp("x") + F.var_samp("y")) / 2)
-    gap = F.avg("x") - F.avg("y")
-    return rows.groupBy("variable").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("candidate_mean"), F.round(F.avg("y"), 6).alias("control_mean"), F.round(F.when(pooled > 0, gap / pooled).when(gap == 0, 0.0), 6).alias("smd"))
+def balance(found: DataFrame, pairs: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """How alike candidates and controls are in each variable: before matching, after it and, with ``judged``, among pairs of which both sides can be judged.
+
+    Counts of values that are there and missing, mean, median, 90 % value, and the standardised mean difference: by the root of the mean of those sample variances
+    that exist; 0 where means agree without spread, null where they differ without spread.
+    """
+    day = lambda g: F.pmod(g, F.lit(86400)).cast("double")
+    of = {**{v: lambda p, v=v: F.col(f"{p}{v}").cast("double") for v in VALUES}, "time_of_day_s": lambda p: day(F.col(f"{p}g"))}
+    long = lambda df, p, side, phase: df.select(F.lit(phase).alias("phase"), side.alias("side"), F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), x(p).alias("x")) for v, x in of.items()])).alias("e")).select("phase", "side", "e.*")
+    rows = long(found, "", F.col("anchor_type"), "pre")
+    sides = ("candidate", "control")
+    matched = [("post", pairs)]
+    if judged is not None:
+        can = lambda s: judged.where("observable = 1").select(F.col("anchor_id").alias(f"{s}_id"))
+        matched.append(("joint", pairs.join(can("candidate"), "candidate_id", "left_semi").join(can("control"), "control_id", "left_semi")))
+    for phase, df in matched:
+        for side in sides:
+            rows = rows.unionByName(long(df, f"{side}_", F.lit(side), phase))
+    own = {s: F.when(F.col("side") == s, F.col("x")) for s in sides}
+    q = lambda s, p: F.round(F.percentile(own[s], F.lit(p)), 6)
+    a, b = (F.var_samp(own[s]) for s in sides)
+    pooled = F.sqrt(F.coalesce((a + b) / 2, a, b))
+    gap = F.avg(own["candidate"]) - F.avg(own["control"])
+    smd = F.when(gap == 0, F.lit(0.0)).otherwise(F.try_divide(gap, pooled))
+    columns = []
+    for s in sides:
+        missing = F.count_if((F.col("side") == s) & F.col("x").isNull())
+        columns += [F.count(own[s]).alias(f"{s}_n"), missing.alias(f"{s}_missing"), F.round(F.avg(own[s]), 6).alias(f"{s}_mean"), q(s, 0.5).alias(f"{s}_median"), q(s, 0.9).alias(f"{s}_p90")]
+    return rows.groupBy("phase", "variable").agg(*columns, F.round(smd, 6).alias("smd"))
+
+
+def observability(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Of all pairs: judged on both sides, and of those observable on both, on one side or on neither."""
+    side = lambda s: judged.select(F.col("anchor_id").alias(f"{s}_id"), F.col("observable").alias(f"{s}_ok"))
+    both = pairs.join(side("candidate"), "candidate_id", "left").join(side("control"), "control_id", "left")
+    a, b = F.col("candidate_ok"), F.col("control_ok")
+    n = lambda x, y: F.count_if((a == x) & (b == y))
+    return both.agg(
+        F.count("*").alias("pairs"), F.count_if(a.isNotNull() & b.isNotNull()).alias("judged"), n(1, 1).alias("both"), n(1, 0).alias("candidate_only"), n(0, 1).alias("control_only"), n(0, 0).alias("neither"),
+    )
 
 
 def outcomes(pairs: DataFrame, judged: DataFrame, nm: tuple[float, ...] = (0.5, 1.0)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Future
 from ..functions.geo import distance_nm, norm, plane
+from .graph import settled
 
 KEY = ["date", "mmsi_a", "mmsi_b", "t0"]
 
@@ -63,8 +64,8 @@ def samples(after: DataFrame, e: DataFrame, step_s: int) -> DataFrame:
 
 def backtest(episodes: DataFrame, f: DataFrame, u: Future = Future()) -> DataFrame:
     """Every episode with what followed: coverage, least distance, whether it can be judged and is supported."""
-    after = followup(episodes, f, u)
-    e = edges(after, u)
+    after = settled(followup(episodes, f, u))  # five branches read it, three its edges
+    e = settled(edges(after, u))
     o = overlaps(e)
     w = Window.partitionBy(*KEY).orderBy("s")
     gaps = o.withColumn("_gap", F.col("s") - F.coalesce(F.lag("e").over(w), F.col("t0")))
@@ -100,7 +101,7 @@ def backtest_summary(b: DataFrame) -> DataFrame:
 
 def grid_sensitivity(episodes: DataFrame, f: DataFrame, steps: tuple[int, ...] = (10, 30, 60), u: Future = Future()) -> DataFrame:
     """Common samples and least sampled distance for several steps, from one set of samples of the finest."""
-    after = followup(episodes, f, u)
+    after = settled(followup(episodes, f, u))
     fine = samples(after, edges(after, u), min(steps))
     every = F.explode(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: F.pmod(F.col("k") * min(steps), s) == 0)).alias("step_s")
     return fine.select("*", every).groupBy("step_s").agg(F.count("*").alias("samples"), F.count_distinct(F.struct(*KEY)).alias("episodes"), F.round(F.min("d"), 6).alias("least_nm"))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared folder and cut from its lineage; only where no folder is set (as in tests), a new one is."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeline-"))
-    return df.checkpoint()
+    """``df`` written to the session's shared folder and cut from its lineage."""
+    return written(df)
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:

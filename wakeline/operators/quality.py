@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Grid
 from ..functions.grid import inside
 from ..functions.parse import number, timestamp
+from .places import values_at
 
 OPTIONAL = {"length": (0, 500), "width": (0, 100), "draft": (0, 30)}
 
@@ -65,17 +66,12 @@ def audit_missing(df: DataFrame, fields: list[str]) -> DataFrame:
 def audit_numeric(df: DataFrame, fields: list[str]) -> DataFrame:
     """Count, extremes, mean, upper median and 95 % value of each field.
 
-    The quantiles are values at a place of the sorted column. They come from counts of distinct values, so a column is never held in one task.
+    The quantiles are values at a place of the sorted column.
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in fields])).alias("p")).select("p.*").where(F.col("v").isNotNull())
-    counts = long.groupBy("field", "v").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("field")
-    ranked = counts.select("field", "v", "n", F.sum("n").over(by.orderBy("v")).alias("upto"), F.sum("n").over(by).alias("all"))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    return ranked.groupBy("field").agg(
-        F.sum("n").alias("n"), F.min("v").alias("least"), F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 6).alias("mean"),
-        at(F.floor(F.col("all") / 2)).alias("p50"), at(F.floor((F.col("all") - 1) * 0.95)).alias("p95"), F.max("v").alias("most"),
-    )
+    whole = long.groupBy("field").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"))
+    found = values_at(long, {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.floor((n - 1) * 0.95)})
+    return whole.join(F.broadcast(found), "field").select("field", "n", "least", "mean", "p50", "p95", "most")  # a row for each field
 
 
 def audit_top(df: DataFrame, field: str, n: int = 20) -> DataFrame:

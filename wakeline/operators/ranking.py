@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +9,23 @@ from ..config import Hotspot
 
 #: Methods and how they score a cell.
 METHODS = {"density_only": (1.0, 0.0, 0.0), "behavior_only": (0.0, 1.0, 0.0), "encounter_only": (0.0, 0.0, 1.0), "fused": (0.0, 1.0, 0.75)}
+STABILITY = {"density_only": (1.0, 0.0, 0.0), "anomaly_only": (0.0, 1.0, 0.0), "encounter_only": (0.0, 0.0, 1.0), "fused_risk": (0.0, 1.0, 0.75)}
 SCREENING = {"density_only": (1.0, 0.0, 0.0), "anomaly_only": (0.0, 1.0, 0.0), "encounter_only": (0.0, 0.0, 1.0), "fused_w0.50": (0.0, 1.0, 0.5), "fused_w0.75": (0.0, 1.0, 0.75), "fused_w1.00": (0.0, 1.0, 1.0)}
 
-#: Names of classes.
+#: Kinds of targets.
+KINDS = ("behavior", "encounter")
+
+#: Names of classes and what is to be reviewed.
 EVIDENCE = ("anomaly-dominated fused evidence", "encounter-dominated fused evidence", "balanced anomaly-encounter evidence", "behavior-component-only candidate evidence", "encounter-only candidate evidence", "exposure-only context")
 STEADY = ("stable exposure with persistent candidate evidence", "stable traffic-exposure hotspot", "persistent candidate-evidence hotspot", "event-sensitive candidate hotspot", "high-exposure context cell", "intermittent evidence cell")
+FOCUS = (
+    "Compare stable traffic exposure with candidate evidence; density alone is not a safety finding.",
+    "Review close-quarters candidate episodes and local crossing or meeting context.",
+    ("Review behavioral deviation evidence, especially ", "the dominant anomaly reason", "."),
+    "Review combined behavioral and encounter evidence before any operational interpretation.",
+    ("Review ", " evidence as a candidate screening cue."),
+    "Use as contextual screening evidence for human audit.",
+)
 TYPES = ("non-hotspot high-exposure context", "non-hotspot candidate context", "stable-exposure review hotspot", "persistent candidate-evidence hotspot", "event-sensitive review hotspot", "encounter-dominated review hotspot", "anomaly-dominated review hotspot", "fused-evidence review hotspot")
 
 
@@ -77,20 +87,29 @@ def stability(daily: DataFrame, h: Hotspot = Hotspot(min_points=20, min_moving=5
     c = F.col
     base, a, b = c("point_count") >= h.min_points, c("anomaly_count") >= h.min_anomalies, c("encounter_count") >= h.min_encounters
     moving = base & (c("moving_count") >= h.min_moving)
-    rows = _scores(with_components(daily), {"density_only": (1.0, 0, 0), "anomaly_only": (0, 1.0, 0), "encounter_only": (0, 0, 1.0), "fused_risk": (0, 1.0, h.encounter_weight)})
+    rows = _scores(with_components(daily), {**STABILITY, "fused_risk": (0, 1.0, h.encounter_weight)})
     fit = F.when(c("method") == "density_only", base).when(c("method") == "anomaly_only", moving & a).when(c("method") == "encounter_only", moving & b).otherwise(moving & (a | b))
     ranked = rows.where(fit).withColumn("_r", F.row_number().over(Window.partitionBy("date", "method").orderBy(F.desc("score"), "cell_id")))
     chosen = ranked.where(c("_r") <= k).groupBy("date", "method").agg(F.collect_set("cell_id").alias("cells"), F.array_sort(F.collect_list(F.when(c("_r") <= 10, c("cell_id")))).alias("top_cells"))
-    every = daily.select("date").distinct().crossJoin(rows.select("method").distinct()).join(chosen, ["date", "method"], "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
+    names = F.explode(F.array(*map(F.lit, STABILITY))).alias("method")
+    every = daily.select("date").distinct().select("date", names).join(chosen, ["date", "method"], "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
     w = Window.partitionBy("method").orderBy("date")
     overlap = lambda other: F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("cells", other)), F.size(F.array_union("cells", other))), F.lit(0.0)), 6)
     df = every.withColumns({"_prev": F.lag("cells").over(w), "_first": F.first("cells").over(w)})
     return df.select("date", "method", F.size("cells").alias("selected_cells"), overlap(c("_first")).alias("overlap_first"), F.when(c("_prev").isNotNull(), overlap(c("_prev"))).alias("overlap_previous"), "top_cells")
 
 
-def typology(hot: DataFrame, stable: DataFrame, days: int, weight: float = 0.75) -> DataFrame:
-    """Which evidence carries a cell, how steady it is, and so what kind of cell it is."""
+def main_reasons(points: DataFrame) -> DataFrame:
+    """Of each cell the reason that most of its candidates have; of equally common ones the one that was seen first."""
+    each = points.select("cell_id", "ordinal", F.posexplode(F.split("reasons", ";")).alias("at", "reason")).where("reason <> ''")
+    counted = each.groupBy("cell_id", "reason").agg(F.count("*").alias("_n"), F.min(F.struct("ordinal", "at")).alias("_first"))
+    return counted.groupBy("cell_id").agg(F.min_by("reason", F.struct(-F.col("_n"), "_first")).alias("dominant_reason"))
+
+
+def typology(hot: DataFrame, stable: DataFrame, reasons: DataFrame, days: int, weight: float = 0.75) -> DataFrame:
+    """Which evidence carries a cell, how steady it is, so what kind of cell it is, and what a reviewer should look at. ``reasons``: of ``main_reasons``."""
     c = F.col
+    hot = hot.join(reasons.select("cell_id", "dominant_reason"), "cell_id", "left")
     top = stable.select("method", F.explode("top_cells").alias("cell_id")).groupBy("cell_id").agg(F.count_if(c("method") == "density_only").alias("density_days"), F.count_if(c("method") == "fused_risk").alias("fused_days"))
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("point_count"), "cell_id")) - 1  # the cells of a grid
@@ -110,28 +129,73 @@ def typology(hot: DataFrame, stable: DataFrame, days: int, weight: float = 0.75)
     )
     s, d = c("stability_class"), c("dominant_evidence")
     cell_type = (
-        F.when(~hot_cell & (c("density_percentile") >= 0.9), TYPES[0]).when(~hot_cell, TYPES[1]).when(s == STEADY[1], TYPES[2]).when(s == STEADY[2], TYPES[3])
+        F.when(~hot_cell & (c("density_percentile") >= 0.9), TYPES[0]).when(~hot_cell, TYPES[1]).when(s == STEADY[1], TYPES[2]).when(s.isin(STEADY[0], STEADY[2]), TYPES[3])
         .when(s == STEADY[3], TYPES[4]).when(d == EVIDENCE[1], TYPES[5]).when(d == EVIDENCE[0], TYPES[6]).otherwise(TYPES[7])
     )
-    return df.withColumns({"dominant_evidence": kind, "stability_class": steady}).withColumn("hotspot_type", cell_type).select("cell_id", "is_hotspot", "density_percentile", "anomaly_share", "encounter_share", "density_days", "fused_days", "dominant_evidence", "stability_class", "hotspot_type")
+    why = F.replace(F.coalesce("dominant_reason", F.lit("")), F.lit("_"), F.lit(" "))
+    especially = F.concat(F.lit(FOCUS[2][0]), F.when(why == "", FOCUS[2][1]).otherwise(why), F.lit(FOCUS[2][2]))
+    focus = (
+        F.when(s == STEADY[1], FOCUS[0]).when(d == EVIDENCE[1], FOCUS[1]).when(d == EVIDENCE[0], especially).when(d == EVIDENCE[2], FOCUS[3])
+        .when(why != "", F.concat(F.lit(FOCUS[4][0]), why, F.lit(FOCUS[4][1]))).otherwise(FOCUS[5])
+    )
+    names = ["cell_id", "is_hotspot", "density_percentile", "anomaly_share", "encounter_share", "density_days", "fused_days", "dominant_reason"]
+    named = df.withColumns({"dominant_evidence": kind, "stability_class": steady}).withColumns({"hotspot_type": cell_type, "review_focus": focus})
+    return named.select(*names, "dominant_evidence", "stability_class", "hotspot_type", "review_focus")
+
+
+def _best(cells: DataFrame, methods: dict[str, tuple[float, float, float]], budgets: tuple[float, ...], up: bool, *keys: str) -> DataFrame:
+    """The cells that each method chooses within each budget; at least one. The cells of a grid bound the ranking of a method."""
+    by = [*keys, "method"]
+    order = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "cell_id"))
+    ranked = _scores(cells, methods).select(*by, "cell_id", order.alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    most = F.ceil(F.col("_n") * F.col("budget")) if up else F.floor(F.col("_n") * F.col("budget"))
+    return ranked.select("*", F.explode(F.array(*map(F.lit, budgets))).alias("budget")).where(F.col("_r") <= F.greatest(F.lit(1), most)).select(*by, "budget", "cell_id")
 
 
 def rank_evaluation(cells: DataFrame, targets: DataFrame, methods: dict[str, tuple[float, float, float]] = METHODS, budgets: tuple[float, ...] = (0.05, 0.10, 0.20), up: bool = True, *keys: str) -> DataFrame:
-    """How many targets each method's best cells hold, by budget. Targets outside the ranked cells stay in the denominator.
+    """How many targets each method's best cells hold, by budget and kind of target. Targets outside the ranked cells stay in the denominator; without targets the rate is null.
 
-    ``cells``: cell_id and components; ``targets``: kind and cell_id; ``up``: budgets are rounded up.
+    ``cells``: cell_id and components; ``targets``: kind (of ``KINDS``) and cell_id; ``up``: budgets are rounded up.
     """
     by = [*keys, "method"]
-    ranked = _scores(cells, methods).select(*by, "cell_id", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "cell_id")).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
     counted = targets.groupBy(*keys, "kind", "cell_id").agg(F.count("*").alias("_t"))
     total = counted.groupBy(*keys, "kind").agg(F.sum("_t").alias("targets"))
-    budget = cells.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, budgets))).alias("budget"))
-    amount = F.ceil(F.col("_n") * F.col("budget")) if up else F.floor(F.col("_n") * F.col("budget"))
-    chosen = ranked.crossJoin(F.broadcast(budget)).withColumn("_k", F.greatest(F.lit(1), amount)).where("_r <= _k")
-    kinds = total.select(*keys, "kind")
-    spread = chosen.join(F.broadcast(kinds), list(keys)) if keys else chosen.crossJoin(F.broadcast(kinds))
+    spread = _best(cells, methods, budgets, up, *keys).select("*", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
     held = spread.join(counted, [*keys, "kind", "cell_id"], "left").groupBy(*by, "budget", "kind").agg(F.count("*").alias("selected_cells"), F.coalesce(F.sum("_t"), F.lit(0)).alias("captured"))
-    return held.join(F.broadcast(total), [*keys, "kind"]).select(*by, "budget", "kind", "selected_cells", "captured", "targets", F.round(F.col("captured") / F.col("targets"), 6).alias("capture_rate"))
+    rate = F.round(F.try_divide(F.col("captured").cast("double"), F.col("targets")), 6)
+    return held.join(F.broadcast(total), [*keys, "kind"], "left").select(*by, "budget", "kind", "selected_cells", "captured", F.coalesce("targets", F.lit(0)).alias("targets"), rate.alias("capture_rate"))
+
+
+def screening(cells: DataFrame, episodes: DataFrame, budgets: tuple[float, ...] = (0.05, 0.10, 0.20)) -> DataFrame:
+    """What the episodes in each screening method's best cells came to, against those of all ranked cells. Episodes elsewhere are left out.
+
+    ``episodes``: cell_id, observable, supported.
+    """
+    inside = episodes.where("observable = 1").join(cells.select("cell_id"), "cell_id", "left_semi")
+    by_cell = inside.groupBy("cell_id").agg(F.count("*").alias("_n"), F.sum("supported").alias("_s"))
+    of_all = by_cell.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_on"), F.coalesce(F.sum("_s"), F.lit(0)).alias("_os"))
+    held = _best(cells, SCREENING, budgets, False).join(by_cell, "cell_id", "left").groupBy("method", "budget").agg(
+        F.count("*").alias("selected_cells"), F.coalesce(F.sum("_n"), F.lit(0)).alias("observable_episodes"), F.coalesce(F.sum("_s"), F.lit(0)).alias("supported_episodes")
+    )
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    rate = share("supported_episodes", "observable_episodes")
+    both = held.crossJoin(F.broadcast(of_all))  # one row
+    return both.select(
+        "method", "budget", "selected_cells", "observable_episodes", "supported_episodes", F.round(share("supported_episodes", "_os"), 6).alias("capture_rate"), F.round(rate, 6).alias("support_rate"),
+        F.round(F.try_divide(rate, share("_os", "_on")), 6).alias("enrichment"),
+    )
+
+
+def rank_overlap(cells: DataFrame, budget: float = 0.10) -> DataFrame:
+    """How far the best tenths of the screening methods agree, for each two methods. Two empty sets agree."""
+    best = _best(cells, SCREENING, (budget,), False)
+    both = best.groupBy("cell_id").agg(F.collect_set("method").alias("_m"))  # at most one name for each method
+    names = list(SCREENING)
+    pairs = F.array(*[F.struct(F.lit(a).alias("method_a"), F.lit(b).alias("method_b")) for i, a in enumerate(names) for b in names[i + 1 :]])
+    has = lambda x: F.array_contains("_m", x)
+    rows = both.select("_m", F.explode(pairs).alias("_p")).select("_m", "_p.*")
+    a, b = has(F.col("method_a")), has(F.col("method_b"))
+    return rows.groupBy("method_a", "method_b").agg(F.round(F.coalesce(F.try_divide(F.count_if(a & b).cast("double"), F.count_if(a | b)), F.lit(1.0)), 6).alias("overlap"))
 
 
 def pareto(evaluated: DataFrame) -> DataFrame:
@@ -142,23 +206,21 @@ def pareto(evaluated: DataFrame) -> DataFrame:
     return wide.join(other, beaten, "left_anti")
 
 
-def fusion_gate(folds: DataFrame, retention: float = 0.95) -> DataFrame:
-    """By budget: in how many folds fusion captures more behaviour than encounters alone and keeps enough encounters; passed with a majority."""
-    pick = lambda method, kind: F.max(F.when((F.col("method") == method) & (F.col("kind") == kind), F.col("captured")))
-    by = folds.groupBy("fold", "budget").agg(pick("fused", "behavior").alias("fb"), pick("encounter_only", "behavior").alias("eb"), pick("fused", "encounter").alias("fe"), pick("encounter_only", "encounter").alias("ee"))
-    good = (F.col("fb") > F.col("eb")) & ((F.col("ee") == 0) | (F.col("fe") >= retention * F.col("ee")))
-    return by.groupBy("budget").agg(F.count("*").alias("folds"), F.count_if(good).alias("good_folds"), (F.count_if(good) * 2 > F.count("*")).cast("int").alias("passed"))
-
-
-def jaccard(a: set, b: set, empty: float = 1.0) -> float:
-    return len(a & b) / len(a | b) if a | b else empty
-
-
-def compression(stages: list[tuple[str, int]]) -> list[tuple[str, int, float | None, float | None]]:
-    """Of each stage's count: per cent of the first, and how many times smaller than it."""
-    first = stages[0][1]
-    return [(name, n, round(100 * n / first, 6) if first else None, round(first / n, 3) if n else None) for name, n in stages]
-
-
-def ceil_share(n: int, share: float) -> int:
-    return max(1, math.ceil(n * share)) if n else 0
+def fusion_folds(folds: DataFrame, retention: float = 0.95) -> DataFrame:
+    """For each fold and budget, whether fusion captures more behaviour than encounters alone and keeps enough encounters. A kind without targets counts as rate 0."""
+    pick = lambda method, kind: F.coalesce(F.max(F.when((F.col("method") == method) & (F.col("kind") == kind), F.col("capture_rate"))), F.lit(0.0))
+    there = lambda method: F.count_if(F.col("method") == method) > 0
+    by = folds.groupBy("fold", "budget").agg(
+        pick("fused", "behavior").alias("_fb"), pick("encounter_only", "behavior").alias("_eb"), pick("fused", "encounter").alias("_fe"), pick("encounter_only", "encounter").alias("_ee"),
+        (there("fused") & there("encounter_only")).alias("_both"),
+    ).where("_both")
+    good = (F.col("_fb") > F.col("_eb")) & ((F.col("_ee") == 0) | (F.col("_fe") >= retention * F.col("_ee")))
+    return by.select("fold", "budget", good.cast("int").alias("passes"), F.round(F.try_divide(F.col("_fe"), F.col("_ee")), 6).alias("encounter_retention"), F.round(F.col("_fb") - F.col("_eb"), 6).alias("behavior_delta"))
+
+
+def fusion_gate(folds: DataFrame, retention: float = 0.95, needed: int = 2) -> DataFrame:
+    """By budget: in how many folds fusion passes, and whether in most of them; the gate of all is passed with ``needed`` such budgets."""
+    by = fusion_folds(folds, retention).groupBy("budget").agg(F.count("*").alias("folds"), F.sum("passes").alias("good_folds"))
+    by = by.withColumn("passed", (F.col("good_folds") * 2 > F.col("folds")).cast("int"))
+    whole = by.agg((F.coalesce(F.sum("passed"), F.lit(0)) >= needed).cast("int").alias("gate_passed"))
+    return by.crossJoin(F.broadcast(whole))  # one row

@@ -241,15 +241,17 @@ SELECT mmsi_a, mmsi_b, g FROM (WITH RECURSIVE walk AS (
 _ZERO = "anomaly_count low_support_count weighted_count weighted_score encounter_count encounter_score opportunities point_count moving_count is_evidence".split()
 
 
-def _evidence(key: str) -> str:
+def _evidence(key: str, of: str = "") -> str:
+    """``of``: before the names of the tables, for those by fold."""
+
     def part(table: str, flag: int, where: str = "true", **values: str) -> str:
         return f"SELECT {key}cell_id, {', '.join(f'CAST({values.get(z, flag if z == _ZERO[-1] else 0)} AS DOUBLE) AS {z}' for z in _ZERO)} FROM (SELECT * FROM {table}) WHERE {where}"
 
     w = "CASE WHEN evidence_tier = 'low_support_only' THEN 0.25 ELSE 1 END"
     parts = [
-        part("points", 1, anomaly_count="1", low_support_count="CASE WHEN evidence_tier = 'low_support_only' THEN 1 ELSE 0 END", weighted_count=w, weighted_score=f"({w}) * anomaly_score"),
-        part("opps", 1, "is_candidate = 1 AND cell_id IS NOT NULL", encounter_count="1", encounter_score="encounter_score"), part("exposure", 1, opportunities="pair_opportunity_count"),
-        part("daily_density" if key else "density", 0, point_count="point_count", moving_count="moving_count"),
+        part(f"{of}points", 1, anomaly_count="1", low_support_count="CASE WHEN evidence_tier = 'low_support_only' THEN 1 ELSE 0 END", weighted_count=w, weighted_score=f"({w}) * anomaly_score"),
+        part(f"{of}opps", 1, "is_candidate = 1 AND cell_id IS NOT NULL", encounter_count="1", encounter_score="encounter_score"), part(f"{of}exposure", 1, opportunities="pair_opportunity_count"),
+        part(f"{of}density" if of else "daily_density" if key else "density", 0, point_count="point_count", moving_count="moving_count"),
     ]
     rate = lambda n, s, of: f"CASE WHEN {n} > 0 AND {of} > 0 THEN ln(1 + {n}) * ({s} / {n}) * sqrt({n} / {of}) ELSE 0 END"
     return f"""SELECT *, round({rate('weighted_count', 'weighted_score', 'moving_count')}, 8) AS anomaly_component, round({rate('encounter_count', 'encounter_score', 'opportunities')}, 8) AS encounter_component
@@ -283,6 +285,52 @@ SELECT e.*, r.actual_min_nm, r.coverage_s, r.observable, r.supported, r.near_sup
 FROM (SELECT * FROM relaxed) r JOIN (SELECT * FROM episodes) e USING ({K})"""
 
 
+# Each day left out in turn: all tables that depend on the other days, with the day left out as a column.
+CTES["fold_days"] = "SELECT DISTINCT date AS fold FROM feat"
+CTES["fold_moving"] = "SELECT m.*, d.fold FROM moving m JOIN fold_days d ON m.date <> d.fold"
+CTES["fold_cells"] = """
+SELECT a.fold, a.cell_id, CAST(a.m AS BIGINT) AS moving_points, u.ut AS unique_tracks, a.bin AS dominant_direction_bin
+FROM (SELECT *, sum(n) OVER (PARTITION BY fold, cell_id) AS m, row_number() OVER (PARTITION BY fold, cell_id ORDER BY n DESC, first) AS r
+  FROM (SELECT fold, cell_id, bin, count(*) AS n, min({'date': date, 'mmsi': mmsi, 't': t, 'ordinal': ordinal}) AS first FROM fold_moving GROUP BY fold, cell_id, bin)) a
+JOIN (SELECT fold, cell_id, count(DISTINCT track_id) AS ut FROM fold_moving GROUP BY fold, cell_id) u USING (fold, cell_id) WHERE a.r = 1"""
+CTES["fold_gates"] = f"""
+SELECT fold, greatest({PATTERN_POINTS}, max(moving_points) FILTER (WHERE i = CAST(floor((n - 1) * {D(0.75)}) AS BIGINT))) AS normal_threshold,
+  greatest({PATTERN_POINTS}, max(moving_points) FILTER (WHERE i = CAST(floor((n - 1) * {D(0.9)}) AS BIGINT))) AS high_threshold
+FROM (SELECT fold, moving_points, row_number() OVER (PARTITION BY fold ORDER BY moving_points) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM fold_cells) GROUP BY fold"""
+CTES["fold_patterns"] = f"""
+SELECT m.*, CAST(moving_points >= normal_threshold AND unique_tracks >= {PATTERN_TRACKS} AS INT) AS is_normal, CAST(moving_points >= high_threshold AND unique_tracks >= {PATTERN_TRACKS} AS INT) AS is_high_confidence
+FROM fold_cells m JOIN fold_gates g USING (fold)"""
+CTES["fold_scored"] = (CTES["scored"].replace("FROM flagged", f"""FROM (
+    SELECT *, {', '.join(f'CAST(coalesce({v}, false) AS INT) AS {k}' for k, v in _FLAGS.items())} FROM (
+      SELECT c.*, d.fold, p.dominant_direction_bin AS pb, p.is_high_confidence AS ph, {sector('coalesce(c.bearing_deg, c.cog)')} AS ob
+      FROM celled c CROSS JOIN (SELECT * FROM fold_days) d LEFT JOIN (SELECT * FROM fold_patterns WHERE is_normal = 1) p ON p.fold = d.fold AND p.cell_id = c.cell_id))"""))
+CTES["fold_points"] = "SELECT * FROM fold_scored WHERE date <> fold AND anomaly_score >= 0.35"
+CTES["fold_opps"] = "SELECT o.*, d.fold FROM opps o JOIN fold_days d ON o.date <> d.fold"
+CTES["fold_exposure"] = "SELECT fold, cell_id, count(*) AS pair_opportunity_count FROM fold_opps WHERE cell_id IS NOT NULL GROUP BY fold, cell_id"
+CTES["fold_density"] = "SELECT d.fold, c.cell_id, count(*) AS point_count, count(*) FILTER (WHERE sog >= 0.5) AS moving_count FROM celled c JOIN fold_days d ON c.date <> d.fold GROUP BY d.fold, c.cell_id"
+CTES["fold_evidence"] = _evidence("fold, ", "fold_")
+CTES["fold_targets"] = """
+SELECT 'behavior' AS kind, cell_id, date AS fold FROM (SELECT *, row_number() OVER (PARTITION BY date, track_id ORDER BY n DESC, score_sum DESC, cell_id) AS r FROM (
+  SELECT date, track_id, cell_id, count(*) AS n, round(sum(anomaly_score), 6) AS score_sum FROM fold_scored WHERE date = fold AND anomaly_score >= 0.35 AND evidence_tier = 'corroborated_candidate' GROUP BY ALL)) WHERE r = 1
+UNION ALL SELECT 'encounter', cell_id, date FROM relaxed WHERE supported = 1 AND cell_id <> ''"""
+
+# Patterns and scores on grids of other cell sizes.
+_SCREEN = ["celled", "moving", "moving_cells", "gates", "patterns", "flagged", "scored"]
+for _size in (0.003, 0.01):
+    for _name in _SCREEN:
+        _text = CTES[_name].replace(D(CELL), D(_size))
+        CTES[f"size{int(_size * 1000)}_{_name}"] = re.sub(rf"\b(FROM|JOIN|,)\s+({'|'.join(_SCREEN)})\b(?=\s|\)|,|$)", lambda m, z=int(_size * 1000): f"{m[1]} size{z}_{m[2]}", _text)
+
+# Candidates and controls alike, with what followed: the chain from ``after`` to ``relaxed`` over other rows.
+CTES["anchored"] = """
+SELECT date, mmsi_a, mmsi_b, t0, dcpa_nm, tcpa_min, state_skew_s, current_distance_nm, cell_id, 'candidate' AS anchor_type FROM episodes
+UNION ALL SELECT o.date, o.mmsi_a, o.mmsi_b, o.g, o.dcpa_nm, o.tcpa_min, o.state_skew_s, o.current_distance_nm, o.cell_id, 'control' FROM picked p JOIN opps o ON o.mmsi_a = p.mmsi_a AND o.mmsi_b = p.mmsi_b AND o.g = p.g"""
+_CHAIN = ["episodes", "after", "edges", "meets", "cover", "spots", "samples", "judged", "relaxed"]
+for _name in _CHAIN[1:]:
+    CTES[f"x_{_name}"] = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(_CHAIN)})\b", lambda m: f"{m[1]} {'anchored' if m[2] == 'episodes' else 'x_' + m[2]}", CTES[_name])
+CTES["anchors"] = f"SELECT a.*, r.observable, r.actual_min_nm FROM anchored a JOIN x_relaxed r USING ({K})"
+
+
 def sql(final: str, *materialized: str) -> str:
     """``final`` with all expressions that it needs, in order."""
     need, todo = set(), [final]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import BAY, Encounter, Future, Hotspot, PatternGates
 from ..operators import assessment, behavior, cards, controls, encounters, future, publish, quality, ranking, raster, tracks
+from ..shared import forget, stamp, written
 from ..sources.events import reports
 from . import oracle
 from .oracle import sql
@@ -29,19 +30,25 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Results that many queries build on are kept in memory and on disk, so a plan that uses one several times computes it once."""
+    """Results that many queries build on are written to the shared folder, once for each state of the input's files: plans stay small and compute them once."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str, *more: object) -> DataFrame:
-        key = (spark.sparkContext.applicationId, f.__name__, sf_dir, more)
+        key = (spark.sparkContext.applicationId, f.__name__, sf_dir, stamp(spark, f"{sf_dir}/events.parquet"), more)
         if key not in _SHARED:
-            _SHARED[key] = f(spark, sf_dir, *more)
-        df = _SHARED[key]
-        return df if df.storageLevel.useDisk else df.persist()
+            _SHARED[key] = written(f(spark, sf_dir, *more))
+        return _SHARED[key]
 
     return run
 
 
+def forget_all() -> None:
+    """Delete the written results, so that the next query computes its own."""
+    for df in _SHARED.values():
+        forget(df)
+    _SHARED.clear()
+
+
 def query(name: str, twin: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name] = f
@@ -113,7 +120,7 @@ _as("anomaly_counters", lambda s, d: behavior.counters(points(s, d)), sql("SELEC
 _as("behaviour_targets", lambda s, d: behavior.targets(points(s, d)), sql("SELECT * FROM targets"))
 _as("direction_audit", lambda s, d: behavior.direction_audit(features(s, d)), sql(f"SELECT count(*) AS moving_rows, count(a) AS derived_available, count(b) AS cog_available, count(d) AS both_available, count(*) FILTER (WHERE a IS NULL AND b IS NOT NULL) AS cog_fallback, count(*) FILTER (WHERE a IS NULL AND b IS NULL) AS no_direction, count(*) FILTER (WHERE {oracle.sector('a')} = {oracle.sector('b')}) AS same_bin, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.95), 6) AS p95, count(*) FILTER (WHERE d <= 22.5) AS within_22_5, count(*) FILTER (WHERE d <= 45) AS within_45 FROM (SELECT bearing_deg AS a, cog AS b, {oracle.delta('bearing_deg', 'cog')} AS d FROM feat WHERE sog >= 1)"))
 _as("case_tracks", lambda s, d: behavior.case_tracks(points(s, d)), sql(f"SELECT date, mmsi, track_id, count(*) AS points, round(avg(anomaly_score), 6) AS mean_score, max(anomaly_score) AS max_score, min(sog) AS min_sog, max(sog) AS max_sog, {', '.join(f'CAST(sum({k}) AS BIGINT) AS n_{k}' for k in oracle.WEIGHTS)} FROM points GROUP BY 1, 2, 3 ORDER BY points DESC, max_score DESC, date, track_id LIMIT 7"))
-_as("injections", lambda s, d: behavior.injection_metrics(behavior.score(behavior.inject(features(s, d), patterns(s, d), BAY), patterns(s, d), BAY)), None)
+_as("injections", lambda s, d: behavior.injection_metrics(behavior.score(written(behavior.inject(features(s, d), patterns(s, d), BAY)), patterns(s, d), BAY)), None)
 _STATE = "g, mmsi, t, round(lon, 6) AS lon, round(lat, 6) AS lat, sog, course, direction_source, track_id, age_s"
 _as("causal_grid", lambda s, d: states(s, d).withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)}), sql(f"SELECT {_STATE} FROM states"))
 _as("pairs_within", lambda s, d: encounters.pairs_within(states(s, d), 2.0), sql("SELECT g, mmsi_a, mmsi_b FROM pairs"), "g", "mmsi_a", "mmsi_b")
@@ -130,7 +137,6 @@ _as("encounter_summary", lambda s, d: encounters.summary(records(s, d)), sql("SE
 #: At small scale the default rule can judge no episode, so a relaxed one stands beside it.
 RELAXED = Future(min_fraction=0.30, max_uncovered_s=600)
 SPOTS = Hotspot(min_points=20, min_moving=5, min_anomalies=3, min_encounters=3)
-FOLDS = [f"2024-01-{d:02d}" for d in range(1, 8)]
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,19 +175,31 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_evaluation(hot(spark, sf_dir).where("eligible = 1"), targets(spark, sf_dir))
 
 
+@shared
+def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the table, each of which is a fold."""
+    return features(spark, sf_dir).select(F.col("date").alias("fold")).distinct()
+
+
+@shared
+def fold_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of all days but one, for each day."""
+    train = features(spark, sf_dir).crossJoin(F.broadcast(dates(spark, sf_dir))).where("date <> fold")
+    return raster.patterns(train, BAY, GATES, "fold")
+
+
 @shared
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each of seven days is held out in turn. The fold is a column, so all folds are one plan; patterns and evidence come from the other days alone."""
-    f = features(spark, sf_dir).where(F.col("date").isin(FOLDS))
-    every = spark.range(1).select(F.explode(F.array(*map(F.lit, FOLDS))).alias("fold"))
+    """Each day of the table is held out in turn. The fold is a column, so all folds are one plan; patterns and evidence come from the other days alone."""
+    f, every = features(spark, sf_dir), dates(spark, sf_dir)
     train = f.crossJoin(F.broadcast(every)).where("date <> fold")
-    known = raster.patterns(train, BAY, GATES, "fold")
-    r = records(spark, sf_dir).where(F.col("date").isin(FOLDS)).crossJoin(F.broadcast(every)).where("date <> fold")
+    known = fold_patterns(spark, sf_dir)
+    r = records(spark, sf_dir).select("date", "cell_id", "is_candidate", "encounter_score").crossJoin(F.broadcast(every)).where("date <> fold")
     exposure = r.where("cell_id IS NOT NULL").groupBy("fold", "cell_id").agg(F.count("*").alias("pair_opportunity_count"))
     e = ranking.evidence(behavior.candidates(behavior.score(train, known, BAY, "fold")), r, exposure, raster.density(train, BAY, "fold"), SPOTS, "fold")
-    cells = ranking.with_components(e.where("is_evidence > 0 AND point_count >= 20 AND moving_count >= 5 AND (anomaly_count >= 3 OR encounter_count >= 3)"))
+    cells = written(ranking.with_components(e.where("is_evidence > 0 AND point_count >= 20 AND moving_count >= 5 AND (anomaly_count >= 3 OR encounter_count >= 3)")))
     out = behavior.targets(behavior.candidates(behavior.score(f.withColumn("fold", F.col("date")), known, BAY, "fold"))).select(F.lit("behavior").alias("kind"), "cell_id", F.col("date").alias("fold"))
-    met = backtest(spark, sf_dir, RELAXED).where(F.col("date").isin(FOLDS) & (F.col("supported") == 1) & F.col("cell_id").isNotNull()).select(F.lit("encounter").alias("kind"), "cell_id", F.col("date").alias("fold"))
+    met = backtest(spark, sf_dir, RELAXED).where((F.col("supported") == 1) & F.col("cell_id").isNotNull()).select(F.lit("encounter").alias("kind"), "cell_id", F.col("date").alias("fold"))
     return ranking.rank_evaluation(cells, out.unionByName(met), ranking.METHODS, (0.05, 0.10, 0.20), True, "fold")
 
 
@@ -215,21 +233,107 @@ _as("strata", lambda s, d: controls.strata(records(s, d)), sql(f"SELECT {', '.jo
 _as("cohorts", lambda s, d: anchors(s, d).groupBy("anchor_type").agg(F.count("*").alias("n"), F.sum("record_count").alias("records")), sql("SELECT 'candidate' AS anchor_type, count(*) AS n, CAST(sum(record_count) AS BIGINT) AS records FROM episodes UNION ALL SELECT 'control', count(*), count(*) FROM picked"))
 _as("thinned", lambda s, d: anchors(s, d).where("anchor_type = 'control'"), sql("SELECT mmsi_a, mmsi_b, g FROM picked"), "mmsi_a", "mmsi_b", "g")
 _as("matches", matched, None)
-_as("balance", lambda s, d: controls.balance(matched(s, d)), None)
+_as("balance", lambda s, d: controls.balance(anchors(s, d), matched(s, d), judged_anchors(s, d)), None)
+_as("match_observability", lambda s, d: controls.observability(matched(s, d), judged_anchors(s, d)), None)
 _as("outcomes", outcome, None)
 _as("match_components", lambda s, d: controls.dependence(matched(s, d)).groupBy("root").agg(F.count("*").alias("nodes")), None)
 _HOT = ["cell_id", "anomaly_count", "low_support_count", "encounter_count", "opportunities", "point_count", "moving_count", "anomaly_component", "encounter_component", "eligible", "risk_score", "is_hotspot"]
 _as("hotspots", hot, sql(f"SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' if c in _HOT[1:7] else c for c in _HOT)} FROM hot"), *_HOT)
 _as("stability", stable, sql("SELECT * FROM stable"))
-_as("typology", lambda s, d: ranking.typology(hot(s, d), stable(s, d), 30), None)
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = dates(spark, sf_dir).count()
+    return ranking.typology(hot(spark, sf_dir), stable(spark, sf_dir), ranking.main_reasons(points(spark, sf_dir)), days)
+
+
+def _case(*parts: object) -> str:
+    """Conditions and texts in turn, then the text for all else."""
+    quoted = lambda x: f"'{x}'"
+    return "CASE " + " ".join(f"WHEN {c} THEN {quoted(v)}" for c, v in zip(parts[:-1:2], parts[1::2], strict=True)) + f" ELSE {quoted(parts[-1])} END"
+
+
+_KIND = _case(
+    "anomaly_count > 0 AND encounter_count > 0 AND anomaly_share >= 0.65", ranking.EVIDENCE[0], "anomaly_count > 0 AND encounter_count > 0 AND encounter_share >= 0.65", ranking.EVIDENCE[1],
+    "anomaly_count > 0 AND encounter_count > 0", ranking.EVIDENCE[2], "anomaly_count > 0", ranking.EVIDENCE[3], "encounter_count > 0", ranking.EVIDENCE[4], ranking.EVIDENCE[5],
+)
+_STEADY = _case(
+    "density_days >= need AND fused_days >= need", ranking.STEADY[0], "density_days >= need", ranking.STEADY[1], "fused_days >= need", ranking.STEADY[2],
+    "is_hotspot = 1 AND (fused_days > 0 OR density_percentile < 0.75)", ranking.STEADY[3], "density_percentile >= 0.9", ranking.STEADY[4], ranking.STEADY[5],
+)
+_TYPE = _case(
+    "is_hotspot = 0 AND density_percentile >= 0.9", ranking.TYPES[0], "is_hotspot = 0", ranking.TYPES[1], "contains(stability_class, 'stable traffic-exposure')", ranking.TYPES[2],
+    "contains(stability_class, 'persistent candidate')", ranking.TYPES[3], "contains(stability_class, 'event-sensitive')", ranking.TYPES[4], "contains(dominant_evidence, 'encounter-dominated')", ranking.TYPES[5],
+    "contains(dominant_evidence, 'anomaly-dominated')", ranking.TYPES[6], ranking.TYPES[7],
+)
+_FOCUS = f"""CASE WHEN contains(stability_class, 'stable traffic-exposure') THEN '{ranking.FOCUS[0]}' WHEN contains(dominant_evidence, 'encounter-dominated') THEN '{ranking.FOCUS[1]}'
+  WHEN contains(dominant_evidence, 'anomaly-dominated') THEN '{ranking.FOCUS[2][0]}' || coalesce(replace(dominant_reason, '_', ' '), '{ranking.FOCUS[2][1]}') || '.' WHEN contains(dominant_evidence, 'balanced') THEN '{ranking.FOCUS[3]}'
+  WHEN dominant_reason IS NOT NULL THEN '{ranking.FOCUS[4][0]}' || replace(dominant_reason, '_', ' ') || '{ranking.FOCUS[4][1]}' ELSE '{ranking.FOCUS[5]}' END"""
+_SHARES = f"anomaly_component, CAST(0.75 AS DOUBLE) * encounter_component AS w, anomaly_component + {oracle.D(0.75)} * encounter_component AS whole"
+_TYPED = f"""
+SELECT *, {_TYPE} AS hotspot_type, {_FOCUS} AS review_focus FROM (SELECT * EXCLUDE (need, anomaly_count, encounter_count), {_KIND} AS dominant_evidence, {_STEADY} AS stability_class FROM (
+  SELECT h.cell_id, h.is_hotspot, h.density_percentile, coalesce(round(h.anomaly_component / nullif(h.whole, 0), 6), 0) AS anomaly_share, coalesce(round(h.w / nullif(h.whole, 0), 6), 0) AS encounter_share,
+    coalesce(k.density_days, 0) AS density_days, coalesce(k.fused_days, 0) AS fused_days, r.reason AS dominant_reason, h.anomaly_count, h.encounter_count, greatest(3, round_even((SELECT count(DISTINCT date) FROM feat) * 0.5, 0)) AS need
+  FROM (SELECT *, {_SHARES}, round(1 - (row_number() OVER (ORDER BY point_count DESC, cell_id) - 1) / CAST(greatest(1, count(*) OVER () - 1) AS DOUBLE), 6) AS density_percentile FROM hot) h
+  LEFT JOIN (SELECT cell_id, count(*) FILTER (WHERE method = 'density_only') AS density_days, count(*) FILTER (WHERE method = 'fused_risk') AS fused_days FROM (SELECT method, unnest(top_cells) AS cell_id FROM stable) GROUP BY cell_id) k USING (cell_id)
+  LEFT JOIN (SELECT cell_id, reason FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY n DESC, first) AS i FROM (
+    SELECT cell_id, reason, count(*) AS n, min({{'o': ordinal, 'i': list_position(string_split(reasons, ';'), reason)}}) AS first FROM (SELECT *, unnest(string_split(reasons, ';')) AS reason FROM points) WHERE reason <> '' GROUP BY ALL)) WHERE i = 1) r USING (cell_id)))"""
+_as("typology", typed, sql(_TYPED))
 _TARGETS = "(SELECT 'behavior' AS kind, cell_id FROM targets UNION ALL SELECT 'encounter', cell_id FROM relaxed WHERE supported = 1 AND cell_id <> '')"
-_METHODS = " UNION ALL ".join(f"SELECT '{m}' AS method, cell_id, round({oracle.D(a)} * point_count + {oracle.D(b)} * anomaly_component + {oracle.D(e)} * encounter_component, 8) AS score FROM hot WHERE eligible = 1" for m, (a, b, e) in ranking.METHODS.items())
-_RANKED = f"SELECT r.method, b.budget, t.kind, count(DISTINCT r.cell_id) AS selected_cells, count(x.cell_id) AS captured, any_value(t.n) AS targets, round(count(x.cell_id) / CAST(any_value(t.n) AS DOUBLE), 6) AS capture_rate FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, cell_id) AS r, count(*) OVER (PARTITION BY method) AS n FROM ({_METHODS})) r CROSS JOIN (VALUES ({oracle.D(0.05)}), ({oracle.D(0.1)}), ({oracle.D(0.2)})) b(budget) CROSS JOIN (SELECT kind, count(*) AS n FROM {_TARGETS} GROUP BY 1) t LEFT JOIN {_TARGETS} x ON x.kind = t.kind AND x.cell_id = r.cell_id WHERE r.r <= greatest(1, ceil(r.n * b.budget)) GROUP BY 1, 2, 3"
+
+
+def _sets(methods: dict, table: str, *keys: str) -> str:
+    """A row for each method and cell of a table."""
+    k = "".join(f"{x}, " for x in keys)
+    return " UNION ALL ".join(
+        f"SELECT {k}'{m}' AS method, cell_id, round({oracle.D(a)} * point_count + {oracle.D(b)} * anomaly_component + {oracle.D(e)} * encounter_component, 8) AS score FROM {table}" for m, (a, b, e) in methods.items()
+    )
+
+
+def _chosen(methods: dict, table: str, up: bool, *keys: str) -> str:
+    """The best cells of each method and budget."""
+    k = "".join(f"{x}, " for x in keys)
+    return f"""SELECT {k}method, budget, cell_id FROM (SELECT *, row_number() OVER (PARTITION BY {k}method ORDER BY score DESC, cell_id) AS r, count(*) OVER (PARTITION BY {k}method) AS n FROM ({_sets(methods, table, *keys)}))
+CROSS JOIN (VALUES ({oracle.D(0.05)}), ({oracle.D(0.1)}), ({oracle.D(0.2)})) b(budget) WHERE r <= greatest(1, {'ceil' if up else 'floor'}(n * budget))"""
+
+
+def _captures(table: str, targets: str, *keys: str) -> str:
+    k = "".join(f"{x}, " for x in keys)
+    r = "".join(f"r.{x}, " for x in keys)
+    on = "".join(f"x.{x} = r.{x} AND " for x in keys)
+    of = on.replace("x.", "t.")
+    total = f"(SELECT {k}kind, count(*) AS n FROM {targets} GROUP BY ALL)"
+    return f"""SELECT {r}r.method, r.budget, z.kind, count(DISTINCT r.cell_id) AS selected_cells, count(x.cell_id) AS captured, coalesce(any_value(t.n), 0) AS targets, round(count(x.cell_id) / CAST(any_value(t.n) AS DOUBLE), 6) AS capture_rate
+FROM ({_chosen(ranking.METHODS, table, True, *keys)}) r CROSS JOIN (VALUES ('behavior'), ('encounter')) z(kind)
+LEFT JOIN {total} t ON {of}t.kind = z.kind LEFT JOIN {targets} x ON {on}x.kind = z.kind AND x.cell_id = r.cell_id GROUP BY {r}r.method, r.budget, z.kind"""
+
+
+_ELIGIBLE = "(SELECT * FROM hot WHERE eligible = 1)"
+_RANKED = _captures(_ELIGIBLE, _TARGETS)
 _as("dual_full", ranked, sql(_RANKED))
-_as("rank_eval", lambda s, d: ranking.rank_evaluation(hot(s, d).where("eligible = 1"), targets(s, d), ranking.SCREENING, (0.05, 0.10, 0.20), False), None)
-_as("pareto", lambda s, d: ranking.pareto(ranked(s, d)), None)
-_as("lodo_folds", folds, None)
-_as("fusion_gate", lambda s, d: ranking.fusion_gate(folds(s, d)), None)
+_OBSERVED = f"(SELECT * FROM relaxed WHERE observable = 1 AND cell_id IN (SELECT cell_id FROM {_ELIGIBLE}))"
+_as("rank_eval", lambda s, d: ranking.screening(hot(s, d).where("eligible = 1"), backtest(s, d, RELAXED)), sql(f"""
+SELECT *, round(supported_episodes / CAST(nullif((SELECT sum(supported) FROM {_OBSERVED}), 0) AS DOUBLE), 6) AS capture_rate, round(CAST(supported_episodes AS DOUBLE) / nullif(observable_episodes, 0), 6) AS support_rate,
+  round((CAST(supported_episodes AS DOUBLE) / nullif(observable_episodes, 0)) / nullif((SELECT CAST(sum(supported) AS DOUBLE) / count(*) FROM {_OBSERVED}), 0), 6) AS enrichment
+FROM (SELECT r.method, r.budget, count(DISTINCT r.cell_id) AS selected_cells, count(x.cell_id) AS observable_episodes, CAST(coalesce(sum(x.supported), 0) AS BIGINT) AS supported_episodes
+  FROM ({_chosen(ranking.SCREENING, _ELIGIBLE, False)}) r LEFT JOIN {_OBSERVED} x ON x.cell_id = r.cell_id GROUP BY r.method, r.budget)"""))
+_NAMES = ", ".join(f"({i}, '{m}')" for i, m in enumerate(ranking.SCREENING))
+_TENTH = f"(SELECT method, list(cell_id) AS c FROM ({_chosen(ranking.SCREENING, _ELIGIBLE, False)}) WHERE budget = {oracle.D(0.1)} GROUP BY method)"
+_as("rank_overlap", lambda s, d: ranking.rank_overlap(hot(s, d).where("eligible = 1")), sql(f"""
+SELECT a.m AS method_a, b.m AS method_b, round(len(list_intersect(x.c, y.c)) / CAST(len(list_distinct(list_concat(x.c, y.c))) AS DOUBLE), 6) AS overlap
+FROM (VALUES {_NAMES}) a(i, m) JOIN (VALUES {_NAMES}) b(i, m) ON a.i < b.i JOIN {_TENTH} x ON x.method = a.m JOIN {_TENTH} y ON y.method = b.m"""))
+_WIDE = f"(SELECT budget, method, max(captured) FILTER (WHERE kind = 'behavior') AS behavior, max(captured) FILTER (WHERE kind = 'encounter') AS encounter FROM ({_RANKED}) GROUP BY budget, method)"
+_as("pareto", lambda s, d: ranking.pareto(written(ranked(s, d))), sql(f"""
+SELECT * FROM {_WIDE} w WHERE NOT EXISTS (SELECT 1 FROM {_WIDE} o WHERE o.budget = w.budget AND o.behavior >= w.behavior AND o.encounter >= w.encounter AND (o.behavior > w.behavior OR o.encounter > w.encounter))"""))
+_FOLD_CELLS = "(SELECT * FROM fold_evidence WHERE is_evidence > 0 AND point_count >= 20 AND moving_count >= 5 AND (anomaly_count >= 3 OR encounter_count >= 3))"
+_FOLDS = _captures(_FOLD_CELLS, "fold_targets", "fold")
+_as("lodo_folds", folds, sql(_FOLDS))
+_PASSES = f"""SELECT fold, budget, CAST(fb > eb AND (ee = 0 OR fe >= 0.95 * ee) AS INT) AS passes, round(fe / nullif(ee, 0), 6) AS encounter_retention, round(fb - eb, 6) AS behavior_delta FROM (
+  SELECT fold, budget, {', '.join(f"coalesce(max(capture_rate) FILTER (WHERE method = '{m}' AND kind = '{k}'), 0) AS {x}" for x, m, k in (('fb', 'fused', 'behavior'), ('eb', 'encounter_only', 'behavior'), ('fe', 'fused', 'encounter'), ('ee', 'encounter_only', 'encounter')))}
+  FROM ({_FOLDS}) GROUP BY fold, budget)"""
+_as("fusion_folds", lambda s, d: ranking.fusion_folds(folds(s, d)), sql(_PASSES))
+_as("fusion_gate", lambda s, d: ranking.fusion_gate(folds(s, d)), sql(f"""
+SELECT *, CAST(sum(passed) OVER () >= 2 AS INT) AS gate_passed FROM (SELECT *, CAST(good_folds * 2 > folds AS INT) AS passed FROM (SELECT budget, count(*) AS folds, CAST(sum(passes) AS BIGINT) AS good_folds FROM ({_PASSES}) GROUP BY budget))"""))
 _as("geojson_points", lambda s, d: publish.point_layer(points(s, d), "anomaly_score", ["cell_id", "anomaly_score", "reasons", "evidence_tier"]), None)
 _as("geojson_cells", lambda s, d: publish.cell_layer(raster.density(features(s, d), BAY), BAY, ["point_count", "mean_sog"]), None)
 _as("geojson_tracks", lambda s, d: publish.line_layer(features(s, d), ["date", "track_id"]), None)
@@ -256,8 +360,14 @@ def encounter_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 _values = lambda rows, name: f"(VALUES {', '.join('(' + ', '.join(oracle.D(x) for x in r) + ')' for r in rows)}) {name}"
 _as("score_levels", lambda s, d: assessment.score_levels(scored(s, d)), sql(f"SELECT level, count(*) AS scored_rows, count(*) FILTER (WHERE anomaly_score >= level) AS candidates, round(count(*) FILTER (WHERE anomaly_score >= level) * {oracle.D(100)} / count(*), 6) AS rate_percent FROM scored CROSS JOIN {_values([(x,) for x in assessment.LEVELS], 'l(level)')} GROUP BY level"))
 _as("nested_encounters", lambda s, d: assessment.nested_encounters(records(s, d)), sql(f"SELECT dcpa_limit_nm, tcpa_limit_min, count(g) AS candidates FROM {_values(assessment.NESTED, 'l(dcpa_limit_nm, tcpa_limit_min)')} LEFT JOIN (SELECT * FROM opps WHERE is_candidate = 1) ON dcpa_nm <= dcpa_limit_nm AND tcpa_min <= tcpa_limit_min GROUP BY 1, 2"))
-_as("cell_sizes", lambda s, d: assessment.cell_sizes(features(s, d), BAY, GATES), None)
-_as("held_out_days", lambda s, d: assessment.held_out_days(features(s, d), BAY, GATES, FOLDS), None)
+_as("cell_sizes", lambda s, d: assessment.cell_sizes(features(s, d), BAY, GATES), sql(" UNION ALL ".join(f"""
+SELECT {oracle.D(z)} AS cell_deg, n.normal_cells, n.high_cells, h.scored_rows, h.candidates, round(h.candidates * {oracle.D(100)} / h.scored_rows, 6) AS rate_percent
+FROM (SELECT count(*) AS scored_rows, count(*) FILTER (WHERE anomaly_score >= 0.35) AS candidates FROM {t}scored) h, (SELECT CAST(sum(is_normal) AS BIGINT) AS normal_cells, CAST(sum(is_high_confidence) AS BIGINT) AS high_cells FROM {t}patterns) n"""
+    for z, t in ((0.003, "size3_"), (0.005, ""), (0.01, "size10_")))))
+_as("held_out_days", lambda s, d: assessment.held_out_days(features(s, d), fold_patterns(s, d), BAY), sql(f"""
+SELECT h.fold AS test_date, p.normal_cells, p.high_cells, h.scored_rows, h.candidates, round(h.candidates * {oracle.D(100)} / h.scored_rows, 6) AS rate_percent
+FROM (SELECT fold, count(*) AS scored_rows, count(*) FILTER (WHERE anomaly_score >= 0.35) AS candidates FROM (SELECT * FROM fold_scored) WHERE date = fold GROUP BY fold) h
+JOIN (SELECT fold, CAST(sum(is_normal) AS BIGINT) AS normal_cells, CAST(sum(is_high_confidence) AS BIGINT) AS high_cells FROM fold_patterns GROUP BY fold) p USING (fold)"""))
 _as("densest_bins", lambda s, d: assessment.densest_bins(states(s, d), 2.0), sql("SELECT t.g, t.vessels, coalesce(p.n, 0) AS indexed, coalesce(p.n, 0) AS brute, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM (SELECT g, count(*) AS vessels FROM states GROUP BY g ORDER BY vessels DESC, g DESC LIMIT 12) t LEFT JOIN (SELECT g, count(*) AS n FROM pairs GROUP BY g) p USING (g)"))
 _moved = lambda s: f"round(CASE WHEN t = t_{s} THEN lon_{s} ELSE lon_{s} + degrees(sog_{s} * sin(radians(course_{s})) * ((t - t_{s}) / {oracle.D(3600)}) / ({oracle.D(oracle.R)} * cos(radians(lat_{s})))) END, 6) AS lon_{s}, round(CASE WHEN t = t_{s} THEN lat_{s} ELSE lat_{s} + degrees(sog_{s} * cos(radians(course_{s})) * ((t - t_{s}) / {oracle.D(3600)}) / {oracle.D(oracle.R)}) END, 6) AS lat_{s}"
 _as(
@@ -265,11 +375,17 @@ _as(
     sql(f"SELECT g, mmsi_a, mmsi_b, t, state_skew_s, {_moved('a')}, {_moved('b')} FROM (SELECT *, greatest(t_a, t_b) AS t, abs(t_a - t_b) AS state_skew_s FROM pairs) WHERE state_skew_s <= 30"), "g", "mmsi_a", "mmsi_b", "t", "state_skew_s", "lon_a", "lat_a", "lon_b", "lat_b",
 )
 _as("match_differences", lambda s, d: assessment.differences(matched(s, d)), None)
-_as("calibration", lambda s, d: assessment.calibration(judged_anchors(s, d)), None)
 _bins = lambda c, edges, labels: f"CASE WHEN {c} IS NULL THEN '{assessment.MISSING}' " + " ".join(f"WHEN {c} < {oracle.D(e)} THEN '{x}'" for e, x in zip(edges, labels, strict=False)) + f" ELSE '{labels[-1]}' END"
 _CALIBRATED = " UNION ALL ".join(f"SELECT '{c}' AS variable, {_bins(c, *spec)} AS bin, observable, actual_min_nm FROM carded" for c, spec in assessment.CALIBRATION.items())
 _as("calibration_candidates", lambda s, d: assessment.calibration(backtest(s, d, RELAXED).withColumn("anchor_type", F.lit("candidate"))), sql(f"SELECT *, round(CAST(within_half_nm AS DOUBLE) / nullif(observable, 0), 6) AS half_rate, round(CAST(within_one_nm AS DOUBLE) / nullif(observable, 0), 6) AS one_rate FROM (SELECT variable, 'candidate' AS anchor_type, bin, count(*) AS anchors, count(*) FILTER (WHERE observable = 1) AS observable, count(*) FILTER (WHERE observable = 1 AND actual_min_nm <= 0.5) AS within_half_nm, count(*) FILTER (WHERE observable = 1 AND actual_min_nm <= 1) AS within_one_nm FROM ({_CALIBRATED}) GROUP BY variable, bin)"))
-_as("composition", lambda s, d: assessment.composition(judged_anchors(s, d)), None)
+_ALL_CALIBRATED = " UNION ALL ".join(f"SELECT '{c}' AS variable, anchor_type, {_bins(c, *spec)} AS bin, observable, actual_min_nm FROM anchors" for c, spec in assessment.CALIBRATION.items())
+_as("calibration", lambda s, d: assessment.calibration(judged_anchors(s, d)), sql(f"""
+SELECT *, round(CAST(within_half_nm AS DOUBLE) / nullif(observable, 0), 6) AS half_rate, round(CAST(within_one_nm AS DOUBLE) / nullif(observable, 0), 6) AS one_rate FROM (
+  SELECT variable, anchor_type, bin, count(*) AS anchors, count(*) FILTER (WHERE observable = 1) AS observable, count(*) FILTER (WHERE observable = 1 AND actual_min_nm <= 0.5) AS within_half_nm,
+    count(*) FILTER (WHERE observable = 1 AND actual_min_nm <= 1) AS within_one_nm FROM ({_ALL_CALIBRATED}) GROUP BY variable, anchor_type, bin)"""))
+_as("composition", lambda s, d: assessment.composition(judged_anchors(s, d)), sql(" UNION ALL ".join(f"""
+SELECT {oracle.D(x)} AS threshold_nm, count(*) AS anchors, count(*) FILTER (WHERE anchor_type = 'candidate') AS candidates, round(CAST(count(*) FILTER (WHERE anchor_type = 'candidate') AS DOUBLE) / nullif(count(*), 0), 6) AS candidate_share
+FROM anchors WHERE observable = 1 AND actual_min_nm <= {x}""" for x in (0.5, 1.0))))
 _as("outcome_intervals", lambda s, d: assessment.intervals(matched(s, d), judged_anchors(s, d)), None)
 _MEASURES = ["clean_rows", "unique_mmsi", "tracks", "long_tracks", "long_rows", "grid_cells", "max_cell_count"]
 _as("daily_summary", lambda s, d: assessment.daily(features(s, d), BAY), sql("SELECT * FROM day_counts"))
@@ -280,7 +396,12 @@ _STAGES = {"clean_points": "cleaned", "anomaly_candidate_points": "points", "enc
 _as("workload_stages", lambda s, d: assessment.stages(**stage_tables(s, d)), sql(f"SELECT stage_no, stage, n, round(n * {oracle.D(100)} / nullif(first(n) OVER (ORDER BY stage_no), 0), 6) AS share_percent, round(CAST(first(n) OVER (ORDER BY stage_no) AS DOUBLE) / nullif(n, 0), 3) AS ratio FROM ({' UNION ALL '.join(f'SELECT {i} AS stage_no, {chr(39)}{k}{chr(39)} AS stage, count(*) AS n FROM {v}' for i, (k, v) in enumerate(_STAGES.items()))})"))
 _as("fingerprint", lambda s, d: assessment.fingerprint(raster.density(features(s, d), BAY), ["cell_id", "point_count", "moving_count"]), sql("SELECT n AS n_rows, sha256(CAST(n AS VARCHAR) || '|' || a || '|' || b) AS sha256 FROM (SELECT count(*) AS n, CAST(coalesce(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), 0) AS VARCHAR) AS a, CAST(coalesce(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)), 0) AS VARCHAR) AS b FROM (SELECT sha256(cell_id || '|' || CAST(point_count AS VARCHAR) || '|' || CAST(moving_count AS VARCHAR)) AS h FROM density))"))
 _as("case_selection", lambda s, d: cards.select_cases(points(s, d)), None)
-_as("hotspot_cards", lambda s, d: cards.hotspot_cards(hot(s, d), ranking.typology(hot(s, d), stable(s, d), 30), backtest(s, d, RELAXED)), None)
+_as("hotspot_cards", lambda s, d: cards.hotspot_cards(hot(s, d), typed(s, d), backtest(s, d, RELAXED)), sql(f"""
+SELECT format('hotspot_card_{{:03d}}', h.rank) AS card_id, CAST(h.rank AS INT) AS rank, h.cell_id, h.risk_score, t.hotspot_type, t.dominant_evidence, t.stability_class,
+  {', '.join(f'CAST(h.{c} AS BIGINT) AS {c}' for c in ('point_count', 'moving_count', 'anomaly_count', 'low_support_count', 'encounter_count'))},
+  CAST(coalesce(b.n, 0) AS BIGINT) AS episodes, CAST(coalesce(b.s, 0) AS BIGINT) AS supported_episodes, t.anomaly_share, t.encounter_share, t.density_days, t.fused_days
+FROM (SELECT *, row_number() OVER (ORDER BY risk_score DESC, cell_id) AS rank FROM hot WHERE is_hotspot = 1) h JOIN ({_TYPED}) t USING (cell_id)
+LEFT JOIN (SELECT cell_id, count(*) AS n, sum(supported) AS s FROM relaxed GROUP BY cell_id) b USING (cell_id)"""))
 _at = lambda v: f"round({oracle.plane_x(f'o.lon_{v}', 'c.lon_mid', 'c.lat_mid')}, 4) AS x_{v}_nm, round({oracle.plane_y(f'o.lat_{v}', 'c.lat_mid')}, 4) AS y_{v}_nm"
 _CARDS = f"SELECT 'enc-' || lpad(CAST(c.rank AS VARCHAR), 3, '0') AS case_id, CAST(c.rank AS INT) AS rank, CASE WHEN c.observable = 0 THEN '{cards.STATUS[0]}' WHEN c.supported = 1 THEN '{cards.STATUS[1]}' WHEN c.near_supported = 1 THEN '{cards.STATUS[2]}' ELSE '{cards.STATUS[3]}' END AS support_status, c.current_distance_nm, c.dcpa_nm, c.tcpa_min, {_at('a')}, {_at('b')}, c.actual_min_nm, c.coverage_s, 900 AS window_s, round(c.coverage_s / {oracle.D(900)}, 6) AS coverage_fraction, c.record_count FROM carded c JOIN opps o ON o.mmsi_a = c.mmsi_a AND o.mmsi_b = c.mmsi_b AND o.g = c.t0 WHERE c.rank <= 12"
 _as("encounter_cards", encounter_cards, sql(_CARDS))
