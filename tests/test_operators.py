@@ -33,6 +33,7 @@ def test_segmentation(spark):
     assert got["222", "12:01:00"].segment_break_reason == "distance_gap"
     assert got["333", "12:00:01"].segment_break_reason == "implied_speed_gap"
     assert all(r.bearing_deg is None for r in got.values() if r.segment_break_reason)
+    assert got["111", "12:00:00"].distance_gap_nm is None and got["111", "12:01:00"].distance_gap_nm > 0
     assert got["111", "13:01:00"].bearing_deg == 0.0 and got["111", "13:01:00"].track_id == "111_0002"
 
 

@@ -10,7 +10,7 @@ EARTH_RADIUS_NM = 3440.065
 
 def haversine_nm(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_NM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_RADIUS_NM * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # not by least(), which passes over nulls
 
 
 def bearing_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -99,6 +99,20 @@ def backtest_summary(b: DataFrame) -> DataFrame:
     )
 
 
+def backtest_status(b: DataFrame) -> DataFrame:
+    """Episodes of each status, with coverage and errors: 10 %, middle and 75 % values of coverage, 90 % value of the error in time."""
+    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
+    return b.groupBy("status").agg(
+        F.count("*").alias("episodes"), q("coverage_s", 0.1).alias("p10_coverage_s"), q("coverage_s", 0.5).alias("median_coverage_s"), q("coverage_s", 0.75).alias("p75_coverage_s"),
+        q("distance_error_nm", 0.75).alias("p75_distance_error_nm"), F.min("actual_min_nm").alias("least_actual_nm"),
+    )
+
+
+def backtest_examples(b: DataFrame, n: int = 10) -> DataFrame:
+    """The supported episodes that came closest; the limit is the feature."""
+    return b.where("supported = 1").orderBy("actual_min_nm", *KEY).limit(n)
+
+
 def grid_sensitivity(episodes: DataFrame, f: DataFrame, steps: tuple[int, ...] = (10, 30, 60), u: Future = Future()) -> DataFrame:
     """Common samples and least sampled distance for several steps, from one set of samples of the finest."""
     after = settled(followup(episodes, f, u))

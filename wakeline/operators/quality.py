@@ -63,6 +63,17 @@ def audit_missing(df: DataFrame, fields: list[str]) -> DataFrame:
     return one.select(pairs, "_n").select("p.field", "p.n_null", F.round(F.try_divide(100.0 * F.col("p.n_null"), F.col("_n")), 4).alias("pct_null"))
 
 
+def audit_summary(df: DataFrame) -> DataFrame:
+    """Rows, vessels, first and last time, and how many values are missing or out of range; counted before cleaning, from one pass."""
+    v = {c: number(df, c) for c in ("longitude", "latitude", "sog", "cog", "heading")}
+    place = v["longitude"].isNull() | v["latitude"].isNull()
+    flags = {
+        "missing_position": place, "position_outside_world": ~place & ~(v["longitude"].between(-180, 180) & v["latitude"].between(-90, 90)), "missing_sog": v["sog"].isNull(), "negative_sog": v["sog"] < 0, "sog_gt_60_kn": v["sog"] > 60,
+        "missing_cog": v["cog"].isNull(), "cog_outside_0_360": (v["cog"] < 0) | (v["cog"] >= 360), "missing_heading": v["heading"].isNull(), "invalid_heading": (v["heading"] == 511) | ~v["heading"].between(0, 360),
+    }
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct("mmsi").alias("unique_mmsi"), F.min("base_date_time").alias("first_time"), F.max("base_date_time").alias("last_time"), *[F.count_if(x).alias(k) for k, x in flags.items()])
+
+
 def audit_numeric(df: DataFrame, fields: list[str]) -> DataFrame:
     """Count, extremes, mean, upper median and 95 % value of each field.
 

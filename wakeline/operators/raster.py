@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Grid, PatternGates
 from ..functions.geo import direction_bin
-from ..functions.grid import cell_id, col_row
+from ..functions.grid import cell_id, col_row, inside
 
 
 def on_grid(f: DataFrame, g: Grid) -> DataFrame:
@@ -23,6 +23,13 @@ def density(f: DataFrame, g: Grid, *keys: str) -> DataFrame:
     )
 
 
+def bins(f: DataFrame, g: Grid, columns: int = 120, rows: int = 120) -> DataFrame:
+    """Counts of a picture of so many columns and rows, the first row in the north; reports on the far edges belong to the last ones."""
+    x = F.floor((F.col("longitude") - g.west) / (g.east - g.west) * columns).cast("int")
+    y = F.floor((F.lit(g.north) - F.col("latitude")) / (g.north - g.south) * rows).cast("int")
+    return f.where(inside(F.col("longitude"), F.col("latitude"), g)).groupBy(F.least(x, F.lit(columns - 1)).alias("x"), F.least(y, F.lit(rows - 1)).alias("y")).agg(F.count("*").alias("n"))
+
+
 def density_norm(daily: DataFrame) -> DataFrame:
     """Daily densities rolled up, relative to the fullest cell. The maximum is an aggregate of its own: a window over all cells would be one task."""
     total = daily.groupBy("cell_id").agg(F.sum("point_count").alias("point_count"), F.sum("moving_count").alias("moving_count"), F.sum("unique_tracks").alias("track_days"))

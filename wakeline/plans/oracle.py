@@ -17,7 +17,8 @@ def fmod(x: str, m: str = "360") -> str:
 
 
 def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    return f"(2 * {D(R)} * asin(least({D(1)}, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+    a = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
+    return f"(2 * {D(R)} * asin(CASE WHEN {a} > 1 THEN 1 ELSE sqrt{a} END))"
 
 
 def bearing(lon1: str, lat1: str, lon2: str, lat2: str) -> str:

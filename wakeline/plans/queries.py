@@ -102,6 +102,11 @@ _as("clean_rows", cleaned, sql(f"SELECT {', '.join(_CLEAN)} FROM cleaned"), *_CL
 _as("clean_counters", lambda s, d: quality.clean_counters(reports(s, d), BAY), sql("SELECT coalesce(drop_reason, 'kept') AS outcome, count(*) AS n FROM classified GROUP BY 1"))
 _as("audit_missing", lambda s, d: quality.audit_missing(cleaned(s, d), FIELDS), sql(" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER (WHERE {c} IS NULL) AS n_null, round({oracle.D(100)} * count(*) FILTER (WHERE {c} IS NULL) / count(*), 4) AS pct_null FROM cleaned" for c in FIELDS)))
 _as("audit_numeric", lambda s, d: quality.audit_numeric(cleaned(s, d), NUMERIC), sql(" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n, min(v) AS least, round(avg(v), 6) AS mean, max(v) FILTER (WHERE i = k // 2) AS p50, max(v) FILTER (WHERE i = CAST(floor((k - 1) * {oracle.D(0.95)}) AS BIGINT)) AS p95, max(v) AS most FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS k FROM cleaned WHERE {c} IS NOT NULL)" for c in NUMERIC)))
+_as("audit_summary", lambda s, d: quality.audit_summary(reports(s, d)), sql("""
+SELECT count(*) AS n_rows, count(DISTINCT mmsi) AS unique_mmsi, min(base_date_time) AS first_time, max(base_date_time) AS last_time, count(*) FILTER (WHERE longitude IS NULL OR latitude IS NULL) AS missing_position,
+  count(*) FILTER (WHERE NOT (longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90)) AS position_outside_world, count(*) FILTER (WHERE sog IS NULL) AS missing_sog, count(*) FILTER (WHERE sog < 0) AS negative_sog,
+  count(*) FILTER (WHERE sog > 60) AS sog_gt_60_kn, count(*) FILTER (WHERE cog IS NULL) AS missing_cog, count(*) FILTER (WHERE cog < 0 OR cog >= 360) AS cog_outside_0_360, count(*) FILTER (WHERE heading IS NULL) AS missing_heading,
+  count(*) FILTER (WHERE heading = 511 OR NOT heading BETWEEN 0 AND 360) AS invalid_heading FROM raw"""))
 _as("audit_top", lambda s, d: quality.audit_top(cleaned(s, d), "vessel_type"), sql("SELECT vessel_type AS value, count(*) AS n FROM cleaned GROUP BY 1 ORDER BY n DESC, value LIMIT 20"))
 _FEAT = ["ordinal", "date", "mmsi", "track_id", "point_index", "segment_break_reason", "time_gap_s", "distance_gap_nm", "implied_sog_kn", "bearing_deg", "bearing_delta_deg", "sog_delta_kn", "accel_kn_per_min", "turn_rate_deg_per_min"]
 _as("motion_features", features, sql(f"SELECT {', '.join(_FEAT)} FROM feat"), *_FEAT)
@@ -111,6 +116,9 @@ _hist = lambda expr, src, edges: sql(f"SELECT e.bin, count(b.bin) AS n FROM (SEL
 _as("sog_hist", lambda s, d: tracks.binned(cleaned(s, d), F.col("sog"), SOG_EDGES), _hist("sog", "cleaned", SOG_EDGES))
 _as("track_len_hist", lambda s, d: tracks.binned(features(s, d).groupBy("date", "track_id").count(), F.col("count"), LENGTH_EDGES), _hist("k", "(SELECT count(*) AS k FROM feat GROUP BY date, track_id)", LENGTH_EDGES))
 _as("grid_density", lambda s, d: raster.density(features(s, d), BAY), sql("SELECT * FROM density"))
+_as("raster_bins", lambda s, d: raster.bins(cleaned(s, d), BAY), sql(f"""
+SELECT least(CAST(floor((longitude - {oracle.D(BAY.west)}) / ({oracle.D(BAY.east)} - {oracle.D(BAY.west)}) * 120) AS INT), 119) AS x, least(CAST(floor(({oracle.D(BAY.north)} - latitude) / ({oracle.D(BAY.north)} - {oracle.D(BAY.south)}) * 120) AS INT), 119) AS y, count(*) AS n
+FROM cleaned WHERE {oracle.inside('longitude', 'latitude')} GROUP BY 1, 2"""))
 _as("density_norm", lambda s, d: raster.density_norm(raster.density(features(s, d), BAY, "date")), sql("SELECT cell_id, point_count, moving_count, track_days, round(point_count / CAST(max(point_count) OVER () AS DOUBLE), 6) AS density_norm FROM (SELECT cell_id, CAST(sum(point_count) AS BIGINT) AS point_count, CAST(sum(moving_count) AS BIGINT) AS moving_count, CAST(sum(unique_tracks) AS BIGINT) AS track_days FROM daily_density GROUP BY cell_id)"))
 _as("patterns", patterns, sql("SELECT * FROM patterns"))
 _as("pattern_thresholds", lambda s, d: raster.thresholds(raster.moving_cells(features(s, d), BAY, GATES), GATES), sql("SELECT CAST(normal_threshold AS BIGINT) AS normal_threshold, CAST(high_threshold AS BIGINT) AS high_threshold FROM gates"))
@@ -225,6 +233,11 @@ _as("backtest_relaxed", lambda s, d: backtest(s, d, RELAXED), sql(f"SELECT {', '
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("observable", "supported", "near_supported", "observable_50", "observable_90"))
 _summary = lambda t: sql(f"SELECT *, round(CAST(observable AS DOUBLE) / episodes, 6) AS observable_rate, round(CAST(supported AS DOUBLE) / nullif(observable, 0), 6) AS support_rate, round(CAST(near_supported AS DOUBLE) / nullif(observable, 0), 6) AS near_rate FROM (SELECT count(*) AS episodes, {_SUMS}, round(quantile_cont(CAST(coverage_s AS DOUBLE), 0.5), 6) AS median_coverage_s, round(quantile_cont(distance_error_nm, 0.5), 6) AS median_distance_error_nm, round(quantile_cont(distance_error_nm, 0.9), 6) AS p90_distance_error_nm FROM {t})")
 _as("backtest_summary", lambda s, d: future.backtest_summary(backtest(s, d, RELAXED)), _summary("relaxed"))
+_as("backtest_status", lambda s, d: future.backtest_status(backtest(s, d, RELAXED)), sql("""
+SELECT status, count(*) AS episodes, round(quantile_cont(CAST(coverage_s AS DOUBLE), 0.1), 6) AS p10_coverage_s, round(quantile_cont(CAST(coverage_s AS DOUBLE), 0.5), 6) AS median_coverage_s, round(quantile_cont(CAST(coverage_s AS DOUBLE), 0.75), 6) AS p75_coverage_s,
+  round(quantile_cont(distance_error_nm, 0.75), 6) AS p75_distance_error_nm, min(actual_min_nm) AS least_actual_nm FROM relaxed GROUP BY status"""))
+_NEAREST = ["date", "mmsi_a", "mmsi_b", "t0", "actual_min_nm", "dcpa_nm", "coverage_s"]
+_as("backtest_examples", lambda s, d: future.backtest_examples(backtest(s, d, RELAXED)), sql(f"SELECT {', '.join(_NEAREST)} FROM relaxed WHERE supported = 1 ORDER BY actual_min_nm, date, mmsi_a, mmsi_b, t0 LIMIT 10"), *_NEAREST)
 _as("future_min", lambda s, d: backtest(s, d).where("actual_min_nm IS NOT NULL"), sql("SELECT date, mmsi_a, mmsi_b, t0, actual_min_nm FROM judged WHERE actual_min_nm IS NOT NULL"), "date", "mmsi_a", "mmsi_b", "t0", "actual_min_nm")
 _as("coverage", lambda s, d: backtest(s, d).where("coverage_s > 0"), sql("SELECT date, mmsi_a, mmsi_b, t0, coverage_s, uncovered_s FROM judged WHERE coverage_s > 0"), "date", "mmsi_a", "mmsi_b", "t0", "coverage_s", "uncovered_s")
 _as("grid_sensitivity", lambda s, d: future.grid_sensitivity(episodes(s, d), features(s, d)), sql("SELECT z.step_s, count(*) AS samples, count(DISTINCT {'a': date, 'b': mmsi_a, 'c': mmsi_b, 'd': t0}) AS episodes, round(min(d), 6) AS least_nm FROM (SELECT * FROM samples) JOIN (VALUES (10), (30), (60)) z(step_s) ON k * 10 % z.step_s = 0 GROUP BY 1"))

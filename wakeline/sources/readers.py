@@ -96,6 +96,22 @@ def missing_days(df: DataFrame, start: dt.date, end: dt.date, column: str = "dat
     return expected.join(df.select(F.col(column).cast("date").alias(column)).distinct(), column, "left_anti")
 
 
+def dated(df: DataFrame, start: dt.date, end: dt.date, column: str = "date") -> DataFrame:
+    """The rows of the days from start to end; a day without any is an error, as a missing daily file would be."""
+    rows = df.where(F.col(column).cast("date").between(F.lit(start), F.lit(end)))
+    gone = [str(r[0]) for r in missing_days(rows, *(lambda d: (d[0], d[-1]))(days(start, end)), column).orderBy(column).limit(10).collect()]
+    if gone:
+        raise FileNotFoundError(f"no rows of {', '.join(gone)}")
+    return rows
+
+
+def smoke(df: DataFrame, rows: int) -> DataFrame:
+    """The first rows of a source, for a trial run; the limit is the feature."""
+    if rows < 1:
+        raise ValueError("a trial run needs a row")
+    return df.limit(rows)
+
+
 def read_json(spark: SparkSession, path: str, schema: str, optional: bool = False) -> DataFrame:
     """A JSON document a file; a missing optional one is an empty table."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
