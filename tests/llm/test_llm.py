@@ -532,6 +532,29 @@ def test_packing_bounds():
     assert packing.least_bins(np.array([600, 600, 600]), 1024) == 3 and packing.least_bins(np.array([], np.int64), 1024) == 0
 
 
+def test_settled_characters():
+    """Both libraries give the same ids for every character that is not unsettled, beside letters, numbers, spaces and itself."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        encode = packing.Encoder(f.read())
+    odd = re.compile(packing.unsettled())
+    fine = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not odd.match(c)]
+    assert {"中", "ж", "\U0001f600", "\u201c", "\u3000", "a"} <= set(fine) and not {"\x1c", "\u0085", "\u200b"} & set(fine) and len(fine) > 230_000
+    for i in range(0, len(fine), 1000):
+        text = "\n".join(f"a{c}1{c} {c}b  {c}{c}.{c}" for c in fine[i : i + 1000])
+        assert encode.fast.encode_ordinary(text) == encode.slow(text), hex(ord(fine[i]))
+
+
+def test_packing_meets_the_bound(spark, monkeypatch):
+    """Partitions without a gap of their own meet too: the whole comes to the bound of all pieces."""
+    monkeypatch.setattr(packing, "PART", 50)
+    rng = np.random.default_rng(5)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 300, 3000))], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    packed = packing.pack(pieces)
+    n, least = packing.certify(packed)
+    assert packed.count() == 3000 and least <= n <= least + 1
+    assert packing.certify(packing.pack(pieces.limit(0))) == (0, 0)
+
+
 def test_packing(spark, corpus, monkeypatch):
     from tokenizers import Tokenizer
 

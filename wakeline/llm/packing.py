@@ -1,10 +1,10 @@
 """Packing of tokenised documents into sequences of a fixed length, with certificates.
 
 Every partition packs its pieces best fit, largest first, and bounds from below by dual feasible functions how
-many sequences any packing needs. A partition whose count meets its bound is done. The others take documents
-from their emptiest sequences to a meeting of several partitions, which packs them anew and keeps the result if
-it needs fewer sequences; so on, round by round, until no gap is left or all have met. Meetings are bounded in
-size, whatever the number of partitions.
+many sequences any packing needs. A partition with a gap between the two takes documents from its emptiest sequences
+to a meeting of several partitions, one without a gap those of its emptiest sequence alone. A meeting packs them anew
+and keeps the result if it needs fewer sequences; so on, round by round, until all have met. Meetings are bounded in
+size, whatever the number of partitions. ``certify`` holds the whole against the bound of all pieces.
 
 Only documents longer than a sequence are cut: into full pieces, but for the first one, which has the rest. Full
 pieces need no packing. Cases: a null or empty text is its end token alone; repeated rows are packed each; an
@@ -14,6 +14,8 @@ empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -45,8 +47,8 @@ class Encoder:
     """Ids of texts by a byte-level BPE tokenizer, as the tokenizers library gives them.
 
     Its vocabulary, in which ids follow the order of merges, is run by the faster tiktoken, and one text of every call by both:
-    a difference is an error. Texts with characters on whose class libraries might differ, or with a special token's string, go to
-    tokenizers alone.
+    a difference is an error. Texts with characters on whose class libraries might differ (``unsettled``), or with a special
+    token's string, go to tokenizers alone; a test holds the ids of all other characters, in several surroundings, against it.
     """
 
     def __init__(self, definition: str):
@@ -85,17 +87,36 @@ def _encoder(definition: str) -> Encoder:
     return Encoder(definition)
 
 
-_ODD = np.zeros(256, bool)
-_ODD[0xC9:] = _ODD[0x1C:0x20] = True
+def _class(character: str, category: str) -> str:
+    """What the splitting pattern sees in a character: letter, number, space or none of them, as unassigned ones are."""
+    return category[0] if category[0] in "LN" else "Z" if category[0] == "Z" or character in "\t\n\v\f\r" else "-"
 
 
-def _pieces(definition: str, capacity: int, end: int) -> Callable:
+@cache
+def unsettled() -> str:
+    """Pattern of characters on whose class libraries might differ: unassigned today, or of another class in Unicode 3.2; and controls that not all count as space."""
+    odd = [
+        i for i in range(0x110000)
+        if (now := unicodedata.category(c := chr(i))) in ("Cn", "Cs") or _class(c, now) != _class(c, unicodedata.ucd_3_2_0.category(c)) or 0x1C <= i <= 0x1F or i == 0x85
+    ]
+    starts, ends = [i for i, before in zip(odd, [-1, *odd], strict=False) if i != before + 1], [i for i, after in zip(odd, [*odd[1:], -1], strict=True) if after != i + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+#: Bytes of texts that have to be searched for unsettled characters: code points from U+0240 on, and controls.
+_RARE = np.zeros(256, bool)
+_RARE[0xC9:] = _RARE[0x1C:0x20] = True
+
+
+def _pieces(definition: str, capacity: int, end: int, odd: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = _encoder(definition), np.array([end], "<u4").tobytes()
+        encode, tail, search = _encoder(definition), np.array([end], "<u4").tobytes(), re.compile(odd).search
         for rows, data, offsets in chunks(batches, "text"):
-            odd = np.concatenate([[0], np.cumsum(_ODD[data] | ((data == 0xC2) & (np.append(data[1:], 0) == 0x85)))])[offsets]
+            rare = np.concatenate([[0], np.cumsum(_RARE[data] | ((data == 0xC2) & (np.append(data[1:], 0) == 0x85)))])[offsets]
+            texts = rows.column(1).to_pylist()
+            settled = [not r or not search(t) for t, r in zip(texts, np.diff(rare).tolist(), strict=True)]
             out: list[tuple] = []
-            for doc, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist(), (np.diff(odd) == 0).tolist()), strict=True):
+            for doc, ids in zip(rows.column(0).to_pylist(), encode(texts, settled), strict=True):
                 ids += tail
                 n = len(ids) // 4
                 start = 0
@@ -136,9 +157,11 @@ def least_bins(sizes: np.ndarray, capacity: int) -> int:
     The first drops what is smaller than a threshold and takes what leaves less room than that as a whole bin; the second
     rounds to multiples of 1/k, up where the next multiple is not reached exactly.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1]
+    return least_of_counts(np.bincount(sizes, minlength=capacity + 1)[: capacity + 1], capacity)
+
+
+def least_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The bound from how many pieces there are of each length."""
     x = np.arange(capacity + 1)
     best = -(-int(count @ x) // capacity)
     rounded = [np.where((k + 1) * x % capacity == 0, x * k, (k + 1) * x // capacity * capacity) for k in range(1, 33)]  # times 1/k
@@ -153,7 +176,7 @@ def least_bins(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-#: ``open``: of a partition with a gap, taken to the next meeting.
+#: ``open``: taken to the next meeting.
 _PACKED = "row bigint, part int, length bigint, sequence_id bigint, offset bigint, open boolean, gap int"
 
 
@@ -170,14 +193,14 @@ def _pack(capacity: int, level: int, last: bool) -> Callable:
             if n >= len(np.unique(old)):
                 ids, place = old, at
         moved = np.zeros(len(sizes), bool)
-        if gap > 0 and not last:
+        if not last:
             distinct, own = np.unique(ids, return_inverse=True)
             room = capacity - np.bincount(own, weights=sizes, minlength=len(distinct))
             order = np.argsort(-room, kind="stable")
             order = order[room[order] > 0]
             held = np.cumsum(np.bincount(own, minlength=len(distinct))[order])
             chosen = np.zeros(len(distinct), bool)
-            chosen[order[held <= MOVED]] = True
+            chosen[order[held <= MOVED] if gap > 0 else order[:1]] = True
             moved = chosen[own]
         return pa.table({"row": table.column("row"), "part": pa.array(np.full(len(sizes), part, np.int32)), "length": table.column("length"), "sequence_id": pa.array(ids.astype(np.int64)), "offset": pa.array(place.astype(np.int64)), "open": pa.array(moved), "gap": pa.array(np.full(len(sizes), gap, np.int32))})
 
@@ -189,7 +212,7 @@ def tokenise(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_arrow(docs, _pieces(definition, capacity, end), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_arrow(docs, _pieces(definition, capacity, end, unsettled()), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -213,3 +236,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = rows.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     return full.unionByName(rows.join(placed.select("row", "sequence_id", "offset"), "row").select(*columns, "sequence_id", "offset"))
+
+
+def certify(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences there are, and how many any packing of these pieces needs at least. Lengths are counted, so the driver gets a row for each length at most."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return packed.select("sequence_id").distinct().count(), least_of_counts(count, capacity)
