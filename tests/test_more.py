@@ -1,11 +1,15 @@
 """Streams with state, nested publication, scans of dated tables."""
 
 import datetime as dt
+import hashlib
+import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import publish, tracks
+from wakeline.config import Future
+from wakeline.operators import publish, report, tracks
 from wakeline.sources import readers
 from wakeline.streaming import live
 
@@ -62,3 +66,48 @@ def test_dated_scan(spark):
     with pytest.raises(FileNotFoundError, match="2025-03-03"):
         readers.dated(df, dt.date(2025, 3, 1), dt.date(2025, 3, 4))
     assert readers.smoke(df, 2).count() == 2
+
+
+def test_relative_paths(spark):
+    """Two stretches of common edges: one vessel sails east, the other lies still; a lone position of a third track joins nothing."""
+    t0 = 1_741_329_000
+    deg = math.degrees(1 / 3440.065)  # one mile of latitude
+    rows = [("301", "2025-03-07", "a", t0 + d, 0.0 + deg * d / 600, 0.0) for d in (10, 130, 400, 520)] + [("302", "2025-03-07", "b", t0 + d, 0.0, deg) for d in (40, 100, 160, 340, 460)] + [("302", "2025-03-07", "c", t0 + 600, 0.0, deg)]
+    f = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ordinal long, mmsi string, date string, track_id string, t long, longitude double, latitude double")
+    card = spark.createDataFrame([("2025-03-07", "301", "302", t0, "enc-001", 0.0, 0.0, 1.5), ("2025-03-07", "301", "309", t0, "enc-002", 0.0, 0.0, 1.5)], "date string, mmsi_a string, mmsi_b string, t0 long, case_id string, lon_mid double, lat_mid double, tcpa_min double")
+    got = sorted(tuple(r) for r in report.relative_paths(card, f, Future()).collect())
+    times = {(40, 130): [40, 70, 90, 100, 130], (400, 460): [400, 430, 460]}
+    want = [("enc-001", a, z, side, t, round(t / 600, 2) if side == "A" else 0.0, 0.0 if side == "A" else 1.0) for (a, z), ts in times.items() for t in ts for side in "AB"]
+    assert got == sorted(want)
+    assert report.relative_paths(card.limit(0), f, Future()).count() == 0
+
+
+def test_card_cases(spark):
+    cards = spark.createDataFrame([("hotspot_card_001", "x1_y1"), ("hotspot_card_002", "x2_y2"), ("hotspot_card_003", "x9_y9")], "card_id string, cell_id string")
+    cases = spark.createDataFrame([(1, "d", "t1"), (2, "d", "t2")], "case_no int, date string, track_id string")
+    cells = {"t1": ["x1_y1"] * 3 + [f"x{i}_y0" for i in range(3, 9)] + ["x9_y9"], "t2": ["x1_y1", "x2_y2", None], "t3": ["x9_y9"] * 9}
+    points = spark.createDataFrame([("d", t, c) for t, cs in cells.items() for c in cs], "date string, track_id string, cell_id string")
+    got = {r.card_id: r.related_case_ids for r in report.card_cases(cards, cases, points).collect()}
+    assert got == {"hotspot_card_001": ["case_01", "case_02"], "hotspot_card_002": ["case_02"], "hotspot_card_003": []}  # x9_y9 is the sixth cell of the first case
+
+
+def test_summary_and_markdown(spark):
+    one = spark.createDataFrame([(3, 0.25, None)], "a int, b double, c int")
+    rows = report.figures(first=one, second=one.select("a")).unionByName(report.counted(spark.createDataFrame([("u",), ("u",), (None,)], "kind string"), "kind"))
+    assert json.loads(report.summary_json(rows, run="r")) == {"run": "r", "notice": report.NOTICE, "first": {"a": 3, "b": 0.25}, "second": {"a": 3}, "kind": {"u": 2}}
+    text = report.markdown(spark.createDataFrame([("x|y", 1200, None), ("a", 1, 0.5)], "name string, n int, v double"), "Counts", ["name"], "All rows.")
+    assert text.splitlines() == ["# Counts", "", "All rows.", "", "| name | n | v |", "|-|-:|-:|", "| a | 1 | 0.5 |", "| x\\|y | 1,200 |  |"]
+
+
+def test_bundle(spark, tmp_path):
+    good = spark.createDataFrame([("ok", 1, 1, True)], "check string, a long, b long, ok boolean")
+    documents = spark.createDataFrame([("summary.json", '{"days": 3}'), ("cells.geojson", '{"cell_id": "x1_y2"}')], "name string, content string")
+    made = json.loads(report.write_bundle(documents, f"file://{tmp_path}/out", good, run="r"))
+    assert (tmp_path / "out/summary.json").read_text() == '{"days": 3}' and json.loads((tmp_path / "out/manifest.json").read_text()) == made
+    assert made["run"] == "r" and {f["name"]: f["sha256"] for f in made["files"]}["summary.json"] == hashlib.sha256(b'{"days": 3}').hexdigest()
+    for bad in ('{"mmsi": 1}', '{"note": "367000001 was there"}', '{"at": "2025-03-07 06:00"}'):
+        with pytest.raises(ValueError, match="x.json holds"):
+            report.write_bundle(documents.unionByName(spark.createDataFrame([("x.json", bad)], "name string, content string")), f"file://{tmp_path}/bad", good)
+    with pytest.raises(ValueError, match="contradict"):
+        report.write_bundle(documents, f"file://{tmp_path}/bad", good.withColumn("ok", F.lit(False)))
+    assert not (tmp_path / "bad").exists()

@@ -65,21 +65,22 @@ def public_status() -> Column:
     return F.when(c("observable") == 0, STATUS[0]).when(c("supported") == 1, STATUS[1]).when(c("near_supported") == 1, STATUS[2]).otherwise(STATUS[3])
 
 
-def encounter_cards(backtest: DataFrame, records: DataFrame, n: int = 12, prefix: str = "enc", window_s: int = 900) -> DataFrame:
-    """The episodes that can be judged best, with positions relative to their middle at t0: no names, no times, no places.
-
-    The order ends in the episode's own key, so there are no ties; the limit is the sample's own.
-    """
+def best_episodes(backtest: DataFrame, n: int = 12, prefix: str = "enc") -> DataFrame:
+    """The episodes that can be judged best, with ``rank`` and ``case_id``. The order ends in the episode's own key, so there are no ties; the limit is the sample's own."""
     order = [F.desc("observable"), F.desc("supported"), F.desc(F.col("actual_min_nm").isNotNull()), F.desc("coverage_s"), F.desc("first_score"), "date", "mmsi_a", "mmsi_b", "t0"]
-    top = backtest.orderBy(*order).limit(n)
     number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))  # n rows
+    return backtest.orderBy(*order).limit(n).withColumn("rank", number).withColumn("case_id", F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("rank").cast("string"), 3, "0")))
+
+
+def encounter_cards(backtest: DataFrame, records: DataFrame, n: int = 12, prefix: str = "enc", window_s: int = 900) -> DataFrame:
+    """The best episodes with positions relative to their middle at t0: no names, no times, no places."""
     states = records.select("mmsi_a", "mmsi_b", F.col("g").alias("t0"), "lon_a", "lat_a", "lon_b", "lat_b")
-    met = top.withColumn("rank", number).join(states, ["mmsi_a", "mmsi_b", "t0"])
+    met = best_episodes(backtest, n, prefix).join(states, ["mmsi_a", "mmsi_b", "t0"])
     c = F.col
     (ax, ay), (bx, by) = (plane(c(f"lon_{s}"), c(f"lat_{s}"), c("lon_mid"), c("lat_mid")) for s in "ab")
     r = lambda x: F.round(x, 4)
     return met.select(
-        F.concat(F.lit(f"{prefix}-"), F.lpad(c("rank").cast("string"), 3, "0")).alias("case_id"), "rank", public_status().alias("support_status"), "current_distance_nm", "dcpa_nm", "tcpa_min", r(ax).alias("x_a_nm"), r(ay).alias("y_a_nm"), r(bx).alias("x_b_nm"), r(by).alias("y_b_nm"),
+        "case_id", "rank", public_status().alias("support_status"), "current_distance_nm", "dcpa_nm", "tcpa_min", r(ax).alias("x_a_nm"), r(ay).alias("y_a_nm"), r(bx).alias("x_b_nm"), r(by).alias("y_b_nm"),
         "actual_min_nm", "coverage_s", F.lit(window_s).alias("window_s"), F.round(c("coverage_s") / window_s, 6).alias("coverage_fraction"), "record_count",
     )
 

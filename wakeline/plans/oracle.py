@@ -191,7 +191,7 @@ SELECT * FROM (SELECT {K}, side, t AS s, lead(t) OVER w AS e, longitude AS x0, l
   FROM after WINDOW w AS (PARTITION BY {K}, side ORDER BY t, ordinal)) WHERE track = nt AND e > s AND e - s <= 180"""
 _P = {f"p{c}{n}{v}": f"({v}.{c}0 + ({v}.{c}1 - {v}.{c}0) * (({t} - {v}.s) / CAST({v}.e - {v}.s AS DOUBLE)))" for v in "ab" for n, t in (("0", "greatest(a.s, b.s)"), ("1", "least(a.e, b.e)")) for c in "xy"}
 CTES["meets"] = f"""
-SELECT {K}, s, e, {norm('rx + dx * part', 'ry + dy * part')} AS d FROM (
+SELECT {K}, s, e, {norm('rx + dx * part', 'ry + dy * part')} AS d, s + part * (e - s) AS nearest FROM (
   SELECT *, CASE WHEN dx * dx + dy * dy > 1e-18 THEN greatest({D(0)}, least({D(1)}, -((rx * dx + ry * dy) / (dx * dx + dy * dy)))) ELSE 0 END AS part FROM (
     SELECT {K}, s, e, x0 AS rx, y0 AS ry, x1 - x0 AS dx, y1 - y0 AS dy FROM (
       SELECT {K}, s, e, {plane_x('px0b', 'mx', 'my')} - {plane_x('px0a', 'mx', 'my')} AS x0, {plane_y('py0b', 'my')} - {plane_y('py0a', 'my')} AS y0,
@@ -285,6 +285,17 @@ CTES["carded"] = f"""
 SELECT e.*, r.actual_min_nm, r.coverage_s, r.observable, r.supported, r.near_supported, row_number() OVER (ORDER BY r.observable DESC, r.supported DESC, CAST(r.actual_min_nm IS NOT NULL AS INT) DESC, r.coverage_s DESC, e.first_score DESC, e.date, e.mmsi_a, e.mmsi_b, e.t0) AS rank
 FROM (SELECT * FROM relaxed) r JOIN (SELECT * FROM episodes) e USING ({K})"""
 
+CTES["stretches"] = f"""
+SELECT {K}, i, min(s) AS b, max(e) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY {K} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (
+  SELECT *, coalesce(CAST(s > max(e) OVER (PARTITION BY {K} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INT), 1) AS new FROM meets)) GROUP BY {K}, i"""
+CTES["moments"] = f"""
+SELECT DISTINCT *, unnest(list_concat(list_transform(range(b, z + 1, 30), lambda x: CAST(x AS DOUBLE)), [CAST(z AS DOUBLE)], list_filter([t0 + tcpa_min * {D(60)}, observed], lambda x: x >= b AND x <= z))) AS tau FROM (
+  SELECT {K}, b, z, c.rank, c.lon_mid, c.lat_mid, c.tcpa_min, o.observed FROM stretches JOIN (SELECT * FROM carded WHERE rank <= 12) c USING ({K})
+  JOIN (SELECT {K}, arg_min(nearest, {{'d': d, 's': s}}) AS observed FROM meets GROUP BY {K}) o USING ({K}))"""
+CTES["path_spots"] = f"""
+SELECT rank, t0, lon_mid, lat_mid, b, z, tau, side, arg_min(x0 + (x1 - x0) * ((tau - s) / (e - s)), s) AS x, arg_min(y0 + (y1 - y0) * ((tau - s) / (e - s)), s) AS y
+FROM moments JOIN edges USING ({K}) WHERE s <= tau AND tau <= e GROUP BY ALL"""
+
 
 # Each day left out in turn: all tables that depend on the other days, with the day left out as a column.
 CTES["fold_days"] = "SELECT DISTINCT date AS fold FROM feat"

@@ -5,11 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BAY, Encounter, Future, Hotspot, PatternGates
-from ..operators import assessment, behavior, cards, controls, encounters, future, publish, quality, ranking, raster, tracks
+from ..operators import assessment, behavior, cards, controls, encounters, future, publish, quality, ranking, raster, report, tracks
 from ..shared import forget, stamp, written
 from ..sources.events import reports
 from . import oracle
@@ -409,7 +409,7 @@ _STAGES = {"clean_points": "cleaned", "anomaly_candidate_points": "points", "enc
 _as("workload_stages", lambda s, d: assessment.stages(**stage_tables(s, d)), sql(f"SELECT stage_no, stage, n, round(n * {oracle.D(100)} / nullif(first(n) OVER (ORDER BY stage_no), 0), 6) AS share_percent, round(CAST(first(n) OVER (ORDER BY stage_no) AS DOUBLE) / nullif(n, 0), 3) AS ratio FROM ({' UNION ALL '.join(f'SELECT {i} AS stage_no, {chr(39)}{k}{chr(39)} AS stage, count(*) AS n FROM {v}' for i, (k, v) in enumerate(_STAGES.items()))})"))
 _as("fingerprint", lambda s, d: assessment.fingerprint(raster.density(features(s, d), BAY), ["cell_id", "point_count", "moving_count"]), sql("SELECT n AS n_rows, sha256(CAST(n AS VARCHAR) || '|' || a || '|' || b) AS sha256 FROM (SELECT count(*) AS n, CAST(coalesce(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), 0) AS VARCHAR) AS a, CAST(coalesce(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)), 0) AS VARCHAR) AS b FROM (SELECT sha256(cell_id || '|' || CAST(point_count AS VARCHAR) || '|' || CAST(moving_count AS VARCHAR)) AS h FROM density))"))
 _as("case_selection", lambda s, d: cards.select_cases(points(s, d)), None)
-_as("hotspot_cards", lambda s, d: cards.hotspot_cards(hot(s, d), typed(s, d), backtest(s, d, RELAXED)), sql(f"""
+_as("hotspot_cards", lambda s, d: hot_cards(s, d), sql(f"""
 SELECT format('hotspot_card_{{:03d}}', h.rank) AS card_id, CAST(h.rank AS INT) AS rank, h.cell_id, h.risk_score, t.hotspot_type, t.dominant_evidence, t.stability_class,
   {', '.join(f'CAST(h.{c} AS BIGINT) AS {c}' for c in ('point_count', 'moving_count', 'anomaly_count', 'low_support_count', 'encounter_count'))},
   CAST(coalesce(b.n, 0) AS BIGINT) AS episodes, CAST(coalesce(b.s, 0) AS BIGINT) AS supported_episodes, t.anomaly_share, t.encounter_share, t.density_days, t.fused_days
@@ -427,6 +427,58 @@ _CHECKS = {
 }
 _as("bundle_checks", lambda s, d: cards.bundle_checks(points(s, d), hot(s, d), episodes(s, d), backtest(s, d, RELAXED), records(s, d)), sql('SELECT "check", a, b, a = b AS ok FROM (' + " UNION ALL ".join(f'SELECT \'{k}\' AS "check", CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b' for k, (a, b) in _CHECKS.items()) + ")"))
 
+_as("encounter_paths", lambda s, d: report.relative_paths(written(cards.best_episodes(backtest(s, d, RELAXED))), features(s, d), RELAXED), sql(f"""
+SELECT 'enc-' || lpad(CAST(rank AS VARCHAR), 3, '0') AS case_id, b - t0 AS start_t_s, z - t0 AS end_t_s, upper(side) AS label, CAST(round(tau - t0) AS BIGINT) AS t_s,
+  round({oracle.plane_x('x', 'lon_mid', 'lat_mid')}, 2) AS x_nm, round({oracle.plane_y('y', 'lat_mid')}, 2) AS y_nm FROM path_spots"""))
+
+
+def hot_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.hotspot_cards(hot(spark, sf_dir), typed(spark, sf_dir), backtest(spark, sf_dir, RELAXED))
+
+
+_as("hotspot_card_cases", lambda s, d: report.card_cases(hot_cards(s, d), cards.select_cases(points(s, d)), points(s, d)), None)
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the web page of a run shows, as rows of section, name and value."""
+    days, seen, types = assessment.daily(features(spark, sf_dir), BAY), points(spark, sf_dir), written(typed(spark, sf_dir))
+    near = assessment.day_overlap(raster.density(features(spark, sf_dir), BAY, "date"))
+    tier = lambda t: F.count_if(F.col("evidence_tier") == t)
+    out = report.figures(
+        dataset=days.agg(F.count("*").alias("days"), *[F.sum(c).alias(c) for c in ("clean_rows", "tracks", "long_tracks", "long_rows")], F.avg("clean_rows").alias("mean_daily_rows")),
+        traffic_patterns=patterns(spark, sf_dir).agg(F.sum("is_normal").alias("normal_cells"), F.sum("is_high_confidence").alias("high_cells")),
+        anomalies=seen.agg(F.count("*").alias("candidates"), tier("corroborated_candidate").alias("corroborated"), tier("low_support_only").alias("low_support")),
+        encounters=encounters.summary(records(spark, sf_dir)),
+        backtest=future.backtest_summary(backtest(spark, sf_dir, RELAXED)).select("episodes", "observable", "supported", "near_supported", "observable_rate", "support_rate", "near_rate"),
+        hotspots=hot(spark, sf_dir).agg(F.sum("is_hotspot").alias("hotspots"), F.sum("eligible").alias("eligible")),
+        cards=hot_cards(spark, sf_dir).agg(F.count("*").alias("cards"), F.coalesce(F.sum("episodes"), F.lit(0)).alias("episodes"), F.coalesce(F.sum("supported_episodes"), F.lit(0)).alias("supported")),
+        stability=near.withColumn("f", F.when(F.col("date") > F.min("date").over(Window.partitionBy(F.lit(1))), F.col("overlap_first"))).agg(F.avg("overlap_previous").alias("mean_previous"), F.min("overlap_previous").alias("least_previous"), F.max("overlap_previous").alias("most_previous"), F.avg("f").alias("mean_first")),
+    )
+    reasons = behavior.counters(seen).where("kind = 'reason'").select(F.lit("reasons").alias("section"), "name", F.col("n").cast("double").alias("value"))
+    for more in (reasons, *[report.counted(types, c) for c in ("hotspot_type", "dominant_evidence", "stability_class")]):
+        out = out.unionByName(more)
+    return out
+
+
+def _figures(section: str, names: str, table: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, '{n}' AS name, round(CAST({n} AS DOUBLE), 6) AS value FROM ({table}) WHERE {n} IS NOT NULL" for n in names.split())
+
+
+_OVERLAPS = f"SELECT date, {_share('f')} AS overlap_first, CASE WHEN p IS NOT NULL THEN {_share('p')} END AS overlap_previous FROM (SELECT *, first(c) OVER (ORDER BY date) AS f, lag(c) OVER (ORDER BY date) AS p FROM (SELECT date, list(cell_id) AS c FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY point_count DESC, cell_id) AS r FROM daily_density) WHERE r <= 50 GROUP BY date))"
+_as("web_summary", summary, sql(" UNION ALL ".join([
+    _figures("dataset", "days clean_rows tracks long_tracks long_rows mean_daily_rows", "SELECT count(*) AS days, sum(clean_rows) AS clean_rows, sum(tracks) AS tracks, sum(long_tracks) AS long_tracks, sum(long_rows) AS long_rows, avg(clean_rows) AS mean_daily_rows FROM day_counts"),
+    _figures("traffic_patterns", "normal_cells high_cells", "SELECT sum(is_normal) AS normal_cells, sum(is_high_confidence) AS high_cells FROM patterns"),
+    _figures("anomalies", "candidates corroborated low_support", "SELECT count(*) AS candidates, count(*) FILTER (WHERE evidence_tier = 'corroborated_candidate') AS corroborated, count(*) FILTER (WHERE evidence_tier = 'low_support_only') AS low_support FROM points"),
+    _figures("encounters", "candidates pairs pair_days episodes", "SELECT count(*) AS candidates, count(DISTINCT mmsi_a || '|' || mmsi_b) AS pairs, count(DISTINCT date || mmsi_a || mmsi_b) AS pair_days, count(DISTINCT date || mmsi_a || mmsi_b || island) AS episodes FROM islands"),
+    _figures("backtest", "episodes observable supported near_supported observable_rate support_rate near_rate", f"SELECT *, CAST(observable AS DOUBLE) / episodes AS observable_rate, CAST(supported AS DOUBLE) / nullif(observable, 0) AS support_rate, CAST(near_supported AS DOUBLE) / nullif(observable, 0) AS near_rate FROM (SELECT count(*) AS episodes, {_SUMS} FROM relaxed)"),
+    _figures("hotspots", "hotspots eligible", "SELECT sum(is_hotspot) AS hotspots, sum(eligible) AS eligible FROM hot"),
+    _figures("cards", "cards episodes supported", "SELECT count(DISTINCT h.cell_id) AS cards, count(r.t0) AS episodes, coalesce(sum(r.supported), 0) AS supported FROM (SELECT * FROM hot WHERE is_hotspot = 1) h LEFT JOIN (SELECT * FROM relaxed) r USING (cell_id)"),
+    _figures("stability", "mean_previous least_previous most_previous mean_first", f"SELECT avg(overlap_previous) AS mean_previous, min(overlap_previous) AS least_previous, max(overlap_previous) AS most_previous, avg(f) AS mean_first FROM (SELECT *, CASE WHEN date > min(date) OVER () THEN overlap_first END AS f FROM ({_OVERLAPS}))"),
+    "SELECT 'reasons', name, CAST(count(*) AS DOUBLE) FROM (SELECT unnest(string_split(reasons, ';')) AS name FROM points) GROUP BY name",
+    *[f"SELECT '{c}', {c}, CAST(count(*) AS DOUBLE) FROM ({_TYPED}) GROUP BY {c}" for c in ("hotspot_type", "dominant_evidence", "stability_class")],
+])))
+
+
 # What a relational engine offers beyond the screening chain, on the order tables.
 query("pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")(
     lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
