@@ -39,8 +39,8 @@ def test_equal(spark, duck, name):
     assert sorted(mine, key=key) == sorted(other, key=key)
 
 
-#: Queries that SQL cannot say; tests/test_brute.py holds their operators against plain Python.
-BRUTE = {"matches", "balance", "match_observability", "outcomes", "match_components", "match_differences", "outcome_intervals", "injections", "case_selection", "geojson_points", "geojson_cells", "geojson_tracks"}
+#: Queries without a twin; tests/test_brute.py, and tests/test_more.py for the last, hold their operators against plain Python.
+BRUTE = {"matches", "balance", "match_observability", "outcomes", "match_components", "match_differences", "outcome_intervals", "injections", "case_selection", "geojson_points", "geojson_cells", "geojson_tracks", "hotspot_card_cases"}
 
 
 def test_every_query_is_compared():
