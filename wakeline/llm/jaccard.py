@@ -254,7 +254,8 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", t
     keyed = scratch.keep(_blocks(nodes, percent, scratch).select("node", "copies", "component", "whole", "keys"))
     scratch.drop(nodes)
     likely = map_arrow(_marked(docs), _among(_known(keyed.select("node"))), "doc_id bigint, text string")
-    own = map_arrow(likely.join(keyed.withColumnRenamed("node", "doc_id"), "doc_id"), _with_sets(k), "doc_id bigint, copies bigint, component bigint, whole boolean, keys array<struct<c1:int,i:int,c2:int,j:int,side:boolean>>, grams binary")
+    mine = keyed.withColumnRenamed("node", "doc_id").hint("merge")  # a broadcast would put two Python workers for each core into one stage
+    own = map_arrow(likely.join(mine, "doc_id"), _with_sets(k), "doc_id bigint, copies bigint, component bigint, whole boolean, keys array<struct<c1:int,i:int,c2:int,j:int,side:boolean>>, grams binary")
     rows = own.select(F.col("doc_id").alias("node"), "copies", "component", "whole", F.explode("keys").alias("key"), "grams").select("node", "copies", "component", "whole", "key.*", "grams")
     found = scratch.keep(rows.groupBy("component", "c1", "i", "c2", "j").applyInArrow(_multiply(percent), "node bigint, root bigint, links bigint, whole boolean"))
     scratch.drop(keyed)
