@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -191,6 +192,31 @@ def test_jaccard_link_counts_in_blocks(spark, corpus, monkeypatch):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == links(rows, 3, 80)
 
 
+def shuffled(spark):
+    """Bytes that tasks have written for exchanges so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    time.sleep(0.5)
+    held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+
+def test_jaccard_sends_a_text_once_however_large_its_component(spark, monkeypatch):
+    """A component of many blocks: disk grows with the documents, not with the pairs of blocks."""
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(160):  # in steps, so that only neighbours are linked, all of them in one component
+        words = [f"m{j}" if j < i else w for j, w in enumerate(base)]
+        words[rng.randrange(200, 400)] = f"x{i}"
+        rows.append((30000 + i, " ".join(words), "en", "s", 0, 0, 0))
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(jaccard, "LONG", 6)
+    before = shuffled(spark)
+    got = jaccard.link(spark.createDataFrame(rows, DOCS), 3, 90).collect()
+    assert shuffled(spark) - before < 4 * sum(len(r[1]) for r in rows)
+    assert sorted((r.doc_id, r.n_links) for r in got) == link_counts(rows, 3, 90)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == links(rows, 3, 90)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(e, Scratch(spark, "t")).collect()}

@@ -2,12 +2,14 @@
 
 1. A document's set is its distinct n-grams as 64-bit hashes. Equal sets form a class; its smallest id stands for it.
 2. Candidates: n-grams are put in one order for all documents, frequent ones last. Sets that overlap enough
-   share ``shared`` of their first n-grams. Short posting lists give pairs; the members of a long one are
-   only tied to its smallest member. Candidates form coarse components.
+   share ``SHARED`` of their first n-grams. Short posting lists give pairs, which may lack as many shared n-grams as
+   both have in long lists; the members of a long list that have enough n-grams in such lists are only tied to its
+   smallest member. Candidates form coarse components. Sets too small to link with a different one are left out.
 3. In a coarse component the rows of the document by n-gram incidence are multiplied in blocks: overlap counts
    add up over column blocks, and pairs below the bound that their sizes give are discarded. A large
-   component is cut into blocks of near sizes; only block pairs whose sizes allow a link are multiplied.
-   A block returns one row per linked document, never its pairs.
+   component is cut into blocks of near sizes, each a file in the shared folder that is written once; only block
+   pairs whose sizes allow a link are multiplied, by tasks that read both files. So disk grows with the documents,
+   not with the square of a component. A block returns one row per linked document, never its pairs.
 
 Cases: a null text or one without words has an empty set, which links with nothing; fewer words than ``k`` are
 one n-gram; repeated rows are documents of their own that link with each other; an empty table gives an empty
@@ -16,10 +18,14 @@ one; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +36,14 @@ from .words import _LANES, SPACED, Words, chunks, grams, mix, prefix_hash, scan
 #: Above so many members a posting list ties them to one member instead of giving pairs.
 LONG = 48
 #: Of the first n-grams, so many have to be shared (fewer in small sets).
-SHARED = 3
+SHARED = 8
 #: N-grams that more than FREQUENT documents have among their first are put last; at most MOST_FREQUENT of them are known to each task.
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: A block has at most so many documents and, unless one alone has more, so many n-grams.
 BLOCK_DOCS, BLOCK_GRAMS = 256, 250_000
 _COLUMNS = 4096
+#: Block pairs of a task.
+TASK_PAIRS = 32
 #: Bits of the filter that keeps texts which are no candidates out of the shuffle.
 FILTER_BITS = 1 << 26
 
@@ -125,15 +133,6 @@ def _among(known: np.ndarray) -> Callable:
     return run
 
 
-def _with_sets(k: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, found in _chunk_sets(batches, k):
-            keep = [rows.column(i) for i, n in enumerate(rows.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array([s.tobytes() for s in found], pa.binary())], [*(n for n in rows.schema.names if n != "text"), "grams"])
-
-    return run
-
-
 def overlaps(found: list[np.ndarray]) -> np.ndarray:
     """Product of the incidence matrix with its transpose: how many n-grams each two sets share (diagonal undefined)."""
     n = len(found)
@@ -173,46 +172,120 @@ def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _multiply(percent: int) -> Callable:
-    """Links within a block, or between the two sides of a block pair: for each linked document, the smallest it reaches there and how many documents it links with."""
+@dataclass
+class Block:
+    """The sets of a block as pairs of n-gram and row, in the order of the n-grams."""
+
+    ids: np.ndarray
+    size: np.ndarray
+    copies: np.ndarray
+    gram: np.ndarray
+    owner: np.ndarray
+
+
+def _block(ids: np.ndarray, copies: np.ndarray, found: list[np.ndarray]) -> Block:
+    flat = np.concatenate(found)
+    size = np.array([len(s) for s in found], np.int64)
+    order = np.argsort(flat, kind="stable")
+    return Block(ids, size, copies, flat[order], np.repeat(np.arange(len(found), dtype=np.min_scalar_type(len(found))), size)[order])
+
+
+def across(a: Block, b: Block) -> np.ndarray:
+    """How many n-grams each set of ``a`` shares with each of ``b``."""
+    out = np.zeros((len(a.ids), len(b.ids)), np.int64)
+    if not len(a.gram) or not len(b.gram):
+        return out
+    both = [x.gram[np.minimum(np.searchsorted(x.gram, y.gram), len(x.gram) - 1)] == y.gram for x, y in ((b, a), (a, b))]
+    gram, owner = zip(*((x.gram[m], x.owner[m]) for x, m in zip((a, b), both, strict=True)), strict=True)
+    cols = np.unique(gram[0])
+    at = [np.searchsorted(cols, g) for g in gram]
+    for low in range(0, len(cols), _COLUMNS):
+        m = []
+        for n, c, o in zip(out.shape, at, owner, strict=True):
+            x, y = np.searchsorted(c, [low, low + _COLUMNS])
+            m.append(np.zeros((n, min(_COLUMNS, len(cols) - low)), np.float32))
+            m[-1][o[x:y], c[x:y] - low] = 1
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+_FOUND = "node bigint, root bigint, links bigint, whole boolean"
+_INSIDE = f"component bigint, c int, i int, file string, {_FOUND}"
+
+
+def _inside(k: int, percent: int, folder: str) -> Callable:
+    """Links within a block: for each linked document, the smallest it reaches there and how many documents it links with.
+
+    A block of a larger component is also written for its pairs with others; a row without a document names its file."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("node").to_pylist(), table.column("side").to_pylist(), table.column("grams").to_pylist(), strict=True))
-        if len(set(rows)) < len(rows):  # repeated rows of one document
-            table = table.take([i for i, r in enumerate(rows) if r not in rows[:i]])
-        found = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        ids, side, copies = (table.column(c).to_numpy() for c in ("node", "side", "copies"))
-        size = np.array([len(s) for s in found])
-        shared = overlaps(found)
-        linked = (100 + percent) * shared >= percent * (size[:, None] + size[None, :])
-        linked &= ids[:, None] != ids[None, :]
-        if any(table.column(a)[0] != table.column(b)[0] for a, b in (("c1", "c2"), ("i", "j"))):  # a pair, even if one of its blocks is empty
-            linked &= side[:, None] != side[None, :]
-        root, some = _roots(linked, ids), linked.any(axis=1)
-        links = linked @ copies
-        return pa.table({"node": pa.array(ids[some]), "root": pa.array(root[some]), "links": pa.array(links[some].astype(np.int64)), "whole": pa.array(table.column("whole").to_numpy(zero_copy_only=False)[some])})
+        ids, copies, found, seen = [], [], [], set()
+        for rows, some in _chunk_sets(table.to_batches(), k):
+            for node, size, n, s in zip(*(rows.column(c).to_pylist() for c in ("node", "size", "copies")), some, strict=True):
+                if len(s) == size and (node, s.tobytes()) not in seen:  # not a repeated row of one document, nor another row of its id
+                    seen.add((node, s.tobytes()))
+                    ids.append(node)
+                    copies.append(n)
+                    found.append(s)
+        whole, component, c, i = (table.column(x)[0].as_py() for x in ("whole", "component", "c", "i"))
+        out: dict[str, list] = {"component": [], "c": [], "i": [], "file": [], "node": [], "root": [], "links": [], "whole": []}
+        if found:
+            names, many = np.array(ids, np.int64), np.array(copies, np.int64)
+            size = np.array([len(s) for s in found])
+            linked = ((100 + percent) * overlaps(found) >= percent * (size[:, None] + size[None, :])) & (names[:, None] != names[None, :])
+            some, root, links = linked.any(axis=1), _roots(linked, names), linked @ many
+            out["node"], out["root"], out["links"] = names[some].tolist(), root[some].tolist(), links[some].tolist()
+            out["file"] = [None] * len(out["node"])
+            if not whole:
+                system, at = fs.FileSystem.from_uri(folder)
+                system.create_dir(at, recursive=True)
+                name = f"{uuid.uuid4().hex}.block"  # a task that runs twice leaves a file that no row names
+                with system.open_output_stream(f"{at}/{name}") as f:
+                    f.write(pickle.dumps(_block(names, many, found), 5))
+                for x, v in (("node", None), ("root", None), ("links", None), ("file", f"{folder}/{name}")):
+                    out[x].append(v)
+        for x, v in (("component", component), ("c", c), ("i", i), ("whole", whole)):
+            out[x] = [v] * len(out["node"])
+        kinds = {"component": pa.int64(), "c": pa.int32(), "i": pa.int32(), "file": pa.string(), "node": pa.int64(), "root": pa.int64(), "links": pa.int64(), "whole": pa.bool_()}
+        return pa.table({x: pa.array(v, kinds[x]) for x, v in out.items()})
+
+    return run
+
+
+def _load(path: str) -> Block:
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f:
+        return pickle.loads(f.read())
+
+
+def _between(percent: int) -> Callable:
+    """Links between the two blocks of each pair of files, as ``_inside`` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = _load(one), _load(two)
+                linked = ((100 + percent) * across(a, b) >= percent * (a.size[:, None] + b.size[None, :])) & (a.ids[:, None] != b.ids[None, :])
+                n, ids = len(a.ids), np.concatenate([a.ids, b.ids])
+                both = np.zeros((len(ids), len(ids)), bool)
+                both[:n, n:], both[n:, :n] = linked, linked.T
+                some, links = both.any(axis=1), both @ np.concatenate([a.copies, b.copies])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(_roots(both, ids)[some]), pa.array(links[some].astype(np.int64)), pa.array(np.zeros(some.sum(), bool))], ["node", "root", "links", "whole"])
 
     return run
 
 
 def _blocks(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Adds ``keys``: the blocks or block pairs that a node of a coarse component takes part in."""
+    """Adds the block of each node, ``c`` and ``i``: its class of sizes and a part of it. A small component is one block, and ``whole``."""
     grow = F.lit(float(np.log(100 / percent)) * 1.0001)  # a little wide, so that rounding never sets linked sizes two classes apart
     nodes = nodes.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / grow).cast("int"))
     by_class = scratch.keep(nodes.groupBy("component", "class").agg(F.count("*").alias("n"), F.sum("size").alias("g")))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("g") / BLOCK_GRAMS)).cast("int").alias("parts")
     whole = by_class.groupBy("component").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).select("component", ((F.col("n") <= BLOCK_DOCS) & (F.col("g") <= 2 * BLOCK_GRAMS)).alias("whole"))
-    near = lambda by, name: by_class.select("component", (F.col("class") + by).alias("class"), parts.alias(name))
-    table = scratch.keep(by_class.select("component", "class", parts).join(near(-1, "above"), ["component", "class"], "left").join(near(1, "below"), ["component", "class"], "left").join(whole, "component"))
+    table = scratch.keep(by_class.select("component", "class", parts).join(whole, "component"))
     at = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    key = lambda c1, i, c2, j, side: F.struct(c1.alias("c1"), i.alias("i"), c2.alias("c2"), j.alias("j"), side.cast("boolean").alias("side"))
-    own, zero = F.col("class"), F.lit(0)
-    span = lambda n: F.when(F.coalesce(n, zero) > 0, F.sequence(zero, F.coalesce(n, zero) - 1)).otherwise(F.array().cast("array<int>"))
-    same = F.transform(span(F.col("parts")), lambda j: key(own, F.least(j, F.col("at")), own, F.greatest(j, F.col("at")), F.col("at") > j))
-    up = F.transform(span(F.col("above")), lambda j: key(own, F.col("at"), own + 1, j, F.lit(False)))
-    down = F.transform(span(F.col("below")), lambda j: key(own - 1, j, own, F.col("at"), F.lit(True)))
-    one = F.array(key(zero, zero, zero, zero, F.lit(False)))
-    return nodes.join(table, ["component", "class"]).withColumn("at", at).withColumn("keys", F.when(F.col("whole"), one).otherwise(F.concat(same, up, down)))
+    own = lambda x: F.when(F.col("whole"), F.lit(0)).otherwise(x)
+    return nodes.join(table, ["component", "class"]).withColumns({"c": own(F.col("class")), "i": own(at)})
 
 
 def link(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,33 +309,45 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", t
     rank[np.lexsort((gram, often["count"].to_numpy()))] = np.arange(len(gram))
 
     heads = map_arrow(docs, _ordered_heads(k, percent, gram[order], rank[order]), "doc_id bigint, size bigint, head array<bigint>")
-    entries = scratch.keep(heads.join(reps.select(F.col("node").alias("doc_id"), "size"), ["doc_id", "size"]).select(F.col("doc_id").alias("node"), F.col("size").cast("int").alias("size"), F.explode("head").alias("gram")))
-    lists = entries.groupBy("gram").agg(F.count("*").alias("m"), F.min("node").alias("center")).where("m > 1")
+    able = reps.where(F.lit(100 - percent) * F.col("size") >= percent)  # a smaller set is not near any but its like
+    entries = scratch.keep(heads.join(able.select(F.col("node").alias("doc_id"), "size"), ["doc_id", "size"]).select(F.col("doc_id").alias("node"), F.col("size").cast("int").alias("size"), F.explode("head").alias("gram")))
+    lists = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     posts = scratch.keep(entries.join(lists, "gram"))
     scratch.drop(entries)
-    short = posts.where(F.col("m") <= LONG).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("size", "node"))).alias("of"))
+    in_long = posts.where(F.col("m") > LONG).groupBy("node").agg(F.count("*").cast("int").alias("long"))
+    needed = lambda size: F.least(F.lit(SHARED), F.ceil(size * F.lit(percent) / 100)).cast("int")
+    short = posts.where(F.col("m") <= LONG).join(in_long, "node", "left").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("size", "node", F.coalesce("long", F.lit(0)).alias("long")))).alias("of"))
     near = lambda x, y: (F.lit(100) * x["size"] >= F.lit(percent) * y["size"]) & (x["node"] != y["node"])
-    pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), F.least(F.lit(SHARED), F.ceil(y["size"] * F.lit(percent) / 100)).cast("int").alias("need"))
+    lack = lambda x, y: F.when(F.least(x["long"], y["long"]) < needed(y["size"]), F.least(x["long"], y["long"])).otherwise(F.lit(0))  # noqa: E731  # else a shared long list ties both
+    pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), (needed(y["size"]) - lack(x, y)).alias("need"))
     pairs = F.flatten(F.transform("of", lambda x, i: F.transform(F.filter(F.slice("of", i + 2, F.size("of")), lambda y: near(x, y)), lambda y: pair(x, y))))
-    counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.max("p.need").alias("need")).where("n >= need").select("a", "b")
-    tied = posts.where(F.col("m") > LONG).select(F.col("center").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.min("p.need").alias("need")).where("n >= need").select("a", "b")
+    ties = scratch.keep(posts.where(F.col("m") > LONG).join(in_long, "node").where(F.col("long") >= needed(F.col("size"))).select("gram", "node"))
+    tied = ties.join(ties.groupBy("gram").agg(F.min("node").alias("a")), "gram").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     coarse = scratch.keep(components(counted.unionByName(tied), scratch))
-    scratch.drop(posts)
+    scratch.drop(posts, ties)
 
     nodes = scratch.keep(coarse.join(reps, "node"))
     scratch.drop(coarse)
-    keyed = scratch.keep(_blocks(nodes, percent, scratch).select("node", "copies", "component", "whole", "keys"))
+    keyed = scratch.keep(_blocks(nodes, percent, scratch).select("node", "size", "copies", "component", "whole", "c", "i"))
     scratch.drop(nodes)
     likely = map_arrow(_marked(docs), _among(_known(keyed.select("node"))), "doc_id bigint, text string")
     mine = keyed.withColumnRenamed("node", "doc_id").hint("merge")  # a broadcast would put two Python workers for each core into one stage
-    own = map_arrow(likely.join(mine, "doc_id"), _with_sets(k), "doc_id bigint, copies bigint, component bigint, whole boolean, keys array<struct<c1:int,i:int,c2:int,j:int,side:boolean>>, grams binary")
-    rows = own.select(F.col("doc_id").alias("node"), "copies", "component", "whole", F.explode("keys").alias("key"), "grams").select("node", "copies", "component", "whole", "key.*", "grams")
-    found = scratch.keep(rows.groupBy("component", "c1", "i", "c2", "j").applyInArrow(_multiply(percent), "node bigint, root bigint, links bigint, whole boolean"))
+    rows = likely.join(mine, "doc_id").select(F.col("doc_id").alias("node"), "size", "copies", "component", "whole", "c", "i", "text")
+    inside = scratch.keep(rows.groupBy("component", "c", "i").applyInArrow(_inside(k, percent, f"{scratch.path}/blocks"), _INSIDE))
+    one, two = (inside.where("file is not null").select("component", *(F.col(x).alias(f"{x}{n}") for x in ("c", "i", "file"))) for n in (1, 2))
+    meet = one.join(two.withColumn("c1", F.col("c2")), ["component", "c1"]).where("i1 < i2").unionByName(one.join(two.withColumn("c1", F.col("c2") - 1), ["component", "c1"]))
+    work = scratch.keep(meet.select("file1", "file2"))
+    found = inside.where("node is not null").select("node", "root", "links", "whole")
+    if n := work.count():
+        between = scratch.keep(map_arrow(work.repartition(1 + n // TASK_PAIRS, "file1", "file2"), _between(percent), _FOUND))
+        found = found.unionByName(between)
+    scratch.delete("blocks")
     scratch.drop(keyed)
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     over = components(found.where(~F.col("whole")).select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     labels = found.where("whole").select("node", F.col("root").alias("component_id")).unionByName(over.select("node", F.col("component").alias("component_id"))).groupBy("node").agg(F.min("component_id").alias("component_id"))
     named = scratch.keep(classes.join(labels, "node", "left").join(links, "node", "left").select("s1", "s2", "size", F.coalesce("component_id", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    scratch.drop(found, classes)
+    scratch.drop(inside, work, classes, *([between] if n else []))
     return all_docs.select("doc_id", "size", "s1", "s2").join(named, ["s1", "s2", "size"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

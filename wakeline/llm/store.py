@@ -82,3 +82,8 @@ class Scratch:
         for t in tables:
             fs, path = self._at(t._scratch_path)
             fs.delete(path, True)
+
+    def delete(self, name: str) -> None:
+        """Delete a folder of files that tasks wrote here."""
+        fs, path = self._at(f"{self.path}/{name}")
+        fs.delete(path, True)
